@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, packing, quality, secret_scan, topk, toxicity
+from . import bpe, line_dedup, lm, packing, quality, secret_scan, topk, toxicity
 from .common import read_table
 
 
@@ -21,6 +21,31 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=2)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read_table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = """
+WITH l AS (
+  SELECT doc_id, i - 1 AS no, list_distinct(regexp_extract_all(lines[i], '[^ \t\n\x0B\f\r]+')) AS s
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), unnest(range(1, len(lines) + 1)) AS u(i)
+), f AS (SELECT doc_id, no, s, len(s) AS n FROM l WHERE len(s) > 0),
+d AS (SELECT min((doc_id, no)) AS pl, list_sort(s) AS k, n FROM f GROUP BY list_sort(s), n),
+o AS (SELECT doc_id, no, list_sort(s) AS k FROM f),
+t AS (SELECT pl, n, unnest(k) AS w FROM d),
+p AS (
+  SELECT b.pl AS pl FROM t a JOIN t b ON a.w = b.w AND a.pl < b.pl
+  GROUP BY b.pl, a.pl, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)
+), gone AS (
+  SELECT o.doc_id, o.no FROM o JOIN d USING (k)
+  WHERE (o.doc_id, o.no) <> d.pl OR d.pl IN (SELECT pl FROM p)
+), g AS (SELECT doc_id, count(*) AS c, string_agg(no, ',' ORDER BY no) AS r FROM gone GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS c FROM f GROUP BY doc_id)
+SELECT x.doc_id, coalesce(n.c, 0) AS n_lines, coalesce(g.c, 0) AS n_removed, coalesce(g.c, 0) AS n_links, coalesce(g.r, '') AS removed
+FROM documents x LEFT JOIN g USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
@@ -61,8 +86,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op6_topk": op6_topk, "op7_lm": op7_lm, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op5_line_dedup": op5_line_dedup, "op6_topk": op6_topk, "op7_lm": op7_lm, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": OP6_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op6_topk": OP6_SQL}
