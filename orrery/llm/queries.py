@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, lm, minhash, packing, quality, secret_scan, topk, toxicity
+from . import bpe, line_dedup, lm, minhash, packing, pii, quality, secret_scan, topk, toxicity
 from .common import read_table
 
 
@@ -21,6 +21,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=2)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(read_table(spark, sf_dir, "documents"))
 
@@ -90,7 +94,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op4_minhash": op4_minhash, "op5_line_dedup": op5_line_dedup, "op6_topk": op6_topk, "op7_lm": op7_lm, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
+    return {"op1_bpe": op1_bpe, "op2_packing": op2_packing, "op3_pii": op3_pii, "op4_minhash": op4_minhash, "op5_line_dedup": op5_line_dedup, "op6_topk": op6_topk, "op7_lm": op7_lm, "op8_toxicity": op8_toxicity, "op9_quality": op9_quality, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
