@@ -4,24 +4,40 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from orrery.llm import packing, secret_scan
+from orrery.llm import line_dedup, minhash, packing, secret_scan, toxicity
 from orrery.llm.common import cut, read_table
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go. The model learns from the labelled rows of the training fold among docs."""
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), folds=5, held=0)
+    return toxicity.keep_clean(docs, model)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines similar to an earlier line go, and documents that lose every line."""
+    return line_dedup.dedup(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return minhash.keep_first(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays, with its columns."""
+    """Secrets are replaced by a mark; every document stays."""
     return secret_scan.redact_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as pieces of token sequences."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end=2)
 
 
-STAGES = [("secret_scan", secrets), ("packing", pack)]
+STAGES = [("toxicity", toxic), ("line_dedup", lines), ("minhash", near_copies), ("secret_scan", secrets), ("packing", pack)]
 
-#: Tokens, trained models and packing are beyond SQL; tests hold the stages against brute force.
+#: Trained models, tokens and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
