@@ -1,12 +1,13 @@
 """Toxicity by a support vector machine on gapped subsequences of letters.
 
-Strings are words (or runs of spaced-out letters) reduced to 31 letter codes: case, accents, look-alike
-digits and signs between letters are folded away. Their features are the subsequences of three and of four
+Strings are words (or runs of spaced-out letters) reduced to 47 letter codes: case, look-alike digits and
+signs between letters are folded away; accented letters keep codes of their own. Their features are the subsequences of three and of four
 letters within SPAN letters, each occurrence weighted by DECAY to the stretch it covers, over a norm by length; so a
 string with inserted letters shares most features with the plain one. Nystroem landmarks approximate the
 kernel, and a squared-hinge machine is trained on the sentences of labelled documents: a sentence counts by
 its strongest string, a toxic document by its strongest sentence, and the witnesses are chosen anew in each
-round (multiple-instance learning). A weighted sum over landmarks is a linear function of the subsequences,
+round (multiple-instance learning). A logistic curve over a document's TOP strongest strings and the number
+of its strings gives the score. A weighted sum over landmarks is a linear function of the subsequences,
 so the trained machine is one table of weights; scoring looks each distinct string up once.
 
 Training takes at most SAMPLE_TOXIC toxic and SAMPLE_CLEAN other labelled documents of the training fold,
@@ -27,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from heapq import nlargest
 from itertools import combinations
 
 import numpy as np
@@ -36,10 +38,11 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_or_empty
 
-SPAN, DECAY, LETTERS = 7, 0.7, 32
+SPAN, DECAY, LETTERS, TOP = 7, 0.7, 48, 4
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 3_000
-LANDMARKS, NEGATIVES, ROUNDS, COST = 256, 12_000, 4, 4.0
-WINDOW, CLEAN_WEIGHT, INSERTED = 24, 3.0, 4
+LANDMARKS, NEGATIVES, ROUNDS, COST, MOST_WEIGHT = 384, 8_000, 3, 4.0, 200
+RIDGE, STEPS = 1e-3, 15
+WINDOW, CLEAN_WEIGHT, PENALTY, INSERTED = 24, 1.0, 0.1, 4
 CACHE_WORDS = 400_000
 SPACED = re.compile(r"(?:(?<!\S)\S[^\S\n]){2,}\S(?!\S)")
 # Signs and digits that stand for letters.
@@ -49,16 +52,16 @@ _OFFSET = LETTERS**3  # subsequences of four letters come behind those of three
 
 
 def fold(word: str) -> bytes:
-    """Letter codes 1 to 31 of a word; signs vanish, unknown letters share four codes."""
+    """Letter codes 1 to 47 of a word; signs vanish, letters beyond a-z share twenty codes."""
     out = bytearray()
-    for c in unicodedata.normalize("NFKD", word.lower().strip(".,;:!?\"'()[]")):
+    for c in unicodedata.normalize("NFKC", word).lower().strip(".,;:!?\"'()[]"):
         c = LOOKALIKES.get(c, c)
         if "a" <= c <= "z":
             out.append(ord(c) - 96)
         elif c.isalpha():
-            out.append(27 + ord(c) % 4)
+            out.append(27 + ord(c) % 20)
         elif c.isdigit():
-            out.append(31)
+            out.append(47)
     return bytes(out)
 
 
@@ -94,8 +97,8 @@ def by_length(codes: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     lengths = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
     for n in np.unique(lengths[lengths >= 3]):
         at = np.flatnonzero(lengths == n)
-        for i in range(0, len(at), 20_000):
-            part = at[i : i + 20_000]
+        for i in range(0, len(at), 8_000):
+            part = at[i : i + 8_000]
             yield part, np.frombuffer(b"".join(codes[j] for j in part), dtype=np.uint8).reshape(len(part), n)
 
 
@@ -103,8 +106,7 @@ def by_length(codes: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class Model:
     weights: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    curve: np.ndarray
 
     def margins(self, codes: list[bytes]) -> np.ndarray:
         out = np.full(len(codes), -np.inf)
@@ -115,9 +117,21 @@ class Model:
             out[at] = total + self.bias
         return out
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return np.where(np.isneginf(margin), 0.0, 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -50, 50))))
+    def probability(self, top: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Scores of documents from their strongest margins (n, TOP) and numbers of strings; 0 without any string."""
+        z = np.clip(_document_features(top, sizes) @ self.curve, -50, 50)
+        return np.where(np.isneginf(top[:, 0]), 0.0, 1 / (1 + np.exp(-z)))
+
+
+def _document_features(top: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.clip(top, -2, 3), np.log1p(sizes), np.ones(len(sizes))])
+
+
+def _strongest(margins: np.ndarray) -> np.ndarray:
+    out = np.full(TOP, -np.inf)
+    best = np.sort(margins)[::-1][:TOP]
+    out[: len(best)] = best
+    return out
 
 
 def strings(text: str) -> set[str]:
@@ -139,7 +153,8 @@ def _kernel(codes: list[bytes], marks: list[bytes]) -> np.ndarray:
     rows, cols, values = map(np.concatenate, (rows, cols, values))
     order = np.argsort(rows, kind="stable")
     rows, cols, values = rows[order], cols[order], values[order]
-    starts = np.searchsorted(rows, np.arange(_OFFSET + LETTERS**4 + 1))
+    starts = np.zeros(_OFFSET + LETTERS**4 + 1, dtype=np.int32)
+    np.cumsum(np.bincount(rows, minlength=_OFFSET + LETTERS**4), out=starts[1:])
     out = np.zeros((len(codes), len(marks)))
     for at, m in by_length(codes):
         for index, weight in features(m):
@@ -157,7 +172,7 @@ def _kernel(codes: list[bytes], marks: list[bytes]) -> np.ndarray:
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Weights of a squared-hinge machine, by Newton steps over the active rows."""
     v, active = np.zeros(x.shape[1]), np.ones(len(y), dtype=bool)
-    for _ in range(30):
+    for _ in range(STEPS):
         a, d = x[active], 2 * cost[active]
         v = np.linalg.solve(np.eye(x.shape[1]) + (a * d[:, None]).T @ a, a.T @ (d * y[active]))
         now = y * (x @ v) < 1
@@ -177,18 +192,55 @@ def _inserted(codes: list[bytes], random: np.random.Generator) -> list[bytes]:
 
 
 def train(texts: list[str], toxic: list[int]) -> Model | None:
-    """The machine for labelled documents. None if either label is missing."""
+    """The machine for labelled documents. None if either label is missing.
+
+    The logistic curve is fitted on margins that each half gets from a machine trained on the other half, as
+    a machine is too sure of what it was trained on.
+    """
     if not any(toxic) or all(toxic):
         return None
+    number: dict[bytes, int] = {}
     bags = []
     for text in texts:
         sentences = re.split(r"[.!?\n]+", text)
-        bags.append({c for s in sentences for w in strings(s) for c in windows(fold(w)) if len(c) >= 3})
-    vocabulary = sorted(set().union(*bags))
-    number = {c: i for i, c in enumerate(vocabulary)}
-    bags = [np.fromiter((number[c] for c in sorted(b)), dtype=np.int64, count=len(b)) for b in bags]
+        found = {c for s in sentences for w in strings(s) for c in windows(fold(w)) if len(c) >= 3}
+        bags.append(np.array([number.setdefault(c, len(number)) for c in sorted(found)], dtype=np.int32))
+    vocabulary = list(number)
+    del number
     label = np.array(toxic, dtype=bool)
-    bad, good = (np.bincount(np.concatenate([np.empty(0, np.int64), *(b for b, y in zip(bags, label) if y == want)]), minlength=len(vocabulary)) for want in (True, False))
+    model = _train(vocabulary, bags, label)
+    if model is None:
+        return None
+    half = np.zeros(len(label), dtype=np.int64)
+    for y in (True, False):
+        half[label == y] = np.arange((label == y).sum()) % 2
+    top = np.full((len(bags), TOP), -np.inf)
+    for h in (0, 1):
+        other = _train(vocabulary, [b for b, x in zip(bags, half) if x != h], label[half != h]) or model
+        margin = _margins_of(other, vocabulary, [b for b, x in zip(bags, half) if x == h])
+        for i in np.flatnonzero(half == h):
+            top[i] = _strongest(margin[bags[i]])
+        del other
+    sizes = np.array([len(b) for b in bags])
+    model.curve = _calibrate(_document_features(top, sizes)[sizes > 0], label[sizes > 0])
+    return model
+
+
+def _margins_of(model: Model, vocabulary: list[bytes], bags: list[np.ndarray]) -> np.ndarray:
+    """Margins of the strings in bags, by their place in the vocabulary; others are not looked at."""
+    out = np.full(len(vocabulary), -np.inf)
+    used = np.unique(np.concatenate([np.empty(0, np.int32), *bags]))
+    for i in range(0, len(used), 50_000):
+        part = used[i : i + 50_000]
+        out[part] = model.margins([vocabulary[j] for j in part])
+    return out
+
+
+def _train(vocabulary: list[bytes], bags: list[np.ndarray], label: np.ndarray) -> Model | None:
+    """The machine, without a curve, of bags of strings given by their places in the vocabulary."""
+    if not label.any() or label.all():
+        return None
+    bad, good = (np.bincount(np.concatenate([np.empty(0, np.int32), *(b for b, y in zip(bags, label) if y == want)]), minlength=len(vocabulary)) for want in (True, False))
     # The first witnesses: strings that are found in toxic documents far more often than in others.
     odds = np.log((bad + 0.2) / (label.sum() + 1)) - np.log((good + 0.2) / ((~label).sum() + 1)) - 1.5 / np.sqrt(bad + 0.2)
     score = odds
@@ -215,38 +267,34 @@ def train(texts: list[str], toxic: list[int]) -> Model | None:
         rows = np.concatenate([positives, negatives])
         y = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives))])
         gapped = _inserted([vocabulary[i] for i in strong if i in best], random)
-        values, vectors = np.linalg.eigh(_kernel(marks, marks))
-        whiten = vectors * np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0)
+        root = np.linalg.cholesky(_kernel(marks, marks) + RIDGE * np.eye(len(marks)))
+        whiten = np.linalg.inv(root).T
         codes = [vocabulary[i] for i in rows] + gapped
         x = np.hstack([_kernel(codes, marks) @ whiten, np.ones((len(codes), 1))])
-        weight = np.where(y > 0, np.minimum(bad[rows], 20) / 2 + 0.5, np.minimum(good[rows], 20) / 2 + 0.5) * COST
+        weight = np.where(y > 0, np.minimum(bad[rows], MOST_WEIGHT) / 2 + 0.5, np.minimum(good[rows], MOST_WEIGHT) / 2 + 0.5) * COST
         y, weight = np.append(y, np.ones(len(gapped))), np.append(weight, np.full(len(gapped), COST))
         v = _machine(x, y, weight)
         alpha = whiten @ v[:-1]
-        table = np.zeros(_OFFSET + LETTERS**4)
+        table = np.zeros(_OFFSET + LETTERS**4, dtype=np.float32)
         for at, m in by_length(marks):
             for index, w in features(m):
                 np.add.at(table, index, np.broadcast_to(alpha[at][:, None] * w, index.shape))
-        model = Model(table.astype(np.float32), float(v[-1]), 1.0, 0.0)
-        score = model.margins(vocabulary)
-    top = np.array([score[b].max(initial=-np.inf) for b in bags])
-    model.slope, model.shift = _calibrate(top[np.isfinite(top)], label[np.isfinite(top)])
+        model = Model(table, float(v[-1]), np.zeros(TOP + 2))
+        score = _margins_of(model, vocabulary, bags)
     return model
 
 
-def _calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve; a clean document weighs CLEAN_WEIGHT toxic ones, and a light penalty keeps it finite."""
-    x = np.stack([margin, np.ones(len(margin))], axis=1)
-    y = label.astype(float)
-    each = np.where(label, 1.0, CLEAN_WEIGHT)
-    v = np.zeros(2)
-    for _ in range(50):
+def _calibrate(x: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Weights of a logistic curve; a clean document weighs CLEAN_WEIGHT toxic ones, and a penalty keeps it finite."""
+    y, each = label.astype(float), np.where(label, 1.0, CLEAN_WEIGHT)
+    v = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -50, 50)))
-        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2), x.T @ (each * (p - y)) + 1e-2 * v)
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + PENALTY * np.eye(len(v)), x.T @ (each * (p - y)) + PENALTY * v)
         v -= step
         if np.abs(step).max() < 1e-8:
             break
-    return float(v[0]), float(v[1])
+    return v
 
 
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
@@ -268,7 +316,7 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.known = model, {}
 
-    def margins(self, texts: list[str]) -> np.ndarray:
+    def probabilities(self, texts: list[str]) -> np.ndarray:
         split = [strings(x) for x in texts]
         new = {w for s in split for w in s if w not in self.known}
         if len(self.known) + len(new) > CACHE_WORDS:
@@ -284,7 +332,8 @@ class Scorer:
             np.maximum.at(best, np.array(owner), self.model.margins(codes))
         self.known.update(zip(words, best.tolist()))
         get = self.known.__getitem__
-        return np.array([max(map(get, s), default=-np.inf) for s in split])
+        top = np.array([_strongest(np.array(nlargest(TOP, map(get, s)))) for s in split]).reshape(len(texts), TOP)
+        return self.model.probability(top, np.array([len(s) for s in split]))
 
 
 def score(df: DataFrame, model: Model | None, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,7 +348,7 @@ def score(df: DataFrame, model: Model | None, folds: int = 5, held: int = 0, id_
                 p = np.zeros(len(texts))
             else:
                 scorer = scorer or Scorer(sent.value)
-                p = sent.value.probability(scorer.margins(texts))
+                p = scorer.probabilities(texts)
             held_out = [x is not None and zlib.crc32(str(x).encode()) % folds == held for x in batch.column("id").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(held_out, pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], names=[id_col, "held_out", "score", "predicted"])
 
@@ -316,7 +365,7 @@ def keep_clean(df: DataFrame, model: Model | None, text_col: str = "text") -> Da
         for batch in slices(batches, text_col):
             if sent.value is not None:
                 scorer = scorer or Scorer(sent.value)
-                p = sent.value.probability(scorer.margins([x or "" for x in batch.column(text_col).to_pylist()]))
+                p = scorer.probabilities([x or "" for x in batch.column(text_col).to_pylist()])
                 batch = batch.filter(pa.array(p < 0.5))
             yield batch
 
