@@ -24,9 +24,10 @@ def lower_bound_pairs(manifest: DataFrame, queries: DataFrame, metric: str = "eu
     bounds of zero and infinity, so it is never dropped.
     """
     _, bound = V.metric(metric)
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks_of(queries) - 1)))
+    count = blocks_of(queries)
+    every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = manifest.select("chunk_id", "count", "centroid", F.col("radius").cast("double").alias("radius"), every.alias("block"))
-    pairs = left.join(blocked(queries), "block")
+    pairs = left.join(blocked(queries, count), "block")
     low, high = bound("q", "centroid", "radius"), V.l2_upper_bound("q", "centroid", "radius")
     odd = F.isnan(low) | low.isNull() | F.isnan(F.coalesce(F.col("radius"), F.lit(float("nan"))))
     return pairs.select("query_id", "chunk_id", "count", F.when(odd, 0.0).otherwise(low).alias("lower_bound"), F.when(odd, float("inf")).otherwise(high).alias("upper_bound"))
@@ -36,8 +37,9 @@ def blocks_of(queries: DataFrame) -> int:
     return max(1, -(-queries.count() // QUERY_BLOCK))
 
 
-def blocked(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(blocks_of(queries))).cast("int").alias("block"))
+def blocked(queries: DataFrame, count: int) -> DataFrame:
+    """The queries with the number of their block, out of count."""
+    return queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int").alias("block"))
 
 
 def lower_bounds(manifest: DataFrame, queries: DataFrame, metric: str = "euclidean") -> DataFrame:

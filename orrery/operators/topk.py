@@ -115,6 +115,6 @@ def radius_search(vectors: DataFrame, queries: DataFrame, radius: float, metric:
     measure, _ = V.metric(metric)
     count = bounds.blocks_of(queries)
     left = vectors.select("chunk_id", "offset", "embedding", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"))
-    both = left.join(bounds.blocked(queries), "block")
+    both = left.join(bounds.blocked(queries, count), "block")
     found = both.select("query_id", "chunk_id", "offset", V.same_size("embedding", "q").alias("checked"), measure("embedding", "q").alias("distance"))
     return found.where(F.col("checked").isNull() & (F.col("distance") <= radius)).drop("checked")

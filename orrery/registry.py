@@ -83,8 +83,10 @@ def _pruned(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query with every row, in blocks."""
-    rows = embeddings(spark, sf_dir).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(bounds.blocks_of(asked(spark, sf_dir)) - 1))))
-    return rows.join(bounds.blocked(asked(spark, sf_dir)), "block")
+    queries = asked(spark, sf_dir)
+    count = bounds.blocks_of(queries)
+    rows = embeddings(spark, sf_dir).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    return rows.join(bounds.blocked(queries, count), "block")
 
 
 def l2_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
