@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute
@@ -27,12 +29,49 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that cut() writes inside go at the end, but for those it is asked to keep."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing.
+
+    Shuffle files of the finished job go when the driver collects its garbage, which is asked for here, so
+    that a chain of jobs needs the disk of one. keep: the table outlives the innermost scratch().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/orrery/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # snappy would take memory beside the heap
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    scopes = _scopes[:-1] if keep else _scopes
+    if scopes:
+        scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that cut() wrote, once all that was made of it is written as well."""
+    _delete(df.sparkSession, df._written)
 
 
 def partitions(spark: SparkSession) -> int:
