@@ -21,6 +21,9 @@ each row is scored alone, so repeated rows agree; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import unicodedata
 import zlib
@@ -307,7 +310,16 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
         chosen = part if chosen is None else chosen.unionByName(part)
     found = documents.select(documents[id_col].alias(id_col), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), id_col)
     rows = sorted({(r[id_col], r["text"], r["y"]) for r in found.collect()})
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    model = train([r[1] for r in rows], [r[2] for r in rows])
+    _give_back()
+    return model
+
+
+def _give_back() -> None:
+    """Hand memory that training has freed back to the system, where the C library can; the driver needs it later."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 class Scorer:
