@@ -61,10 +61,12 @@ def variants(rng, base, n, edits):
     return out
 
 
-def test_large_groups_and_chains(docs_of):
+@pytest.mark.parametrize("hot", [0, minhash.HOT])
+def test_large_groups_and_chains(docs_of, monkeypatch, hot):
+    monkeypatch.setattr(minhash, "HOT", hot)  # from 0 on every group is worked in tiles
     rng = random.Random(4)
     base = [f"word{i}" for i in range(200)]
-    texts = variants(rng, base, 40, 1) + variants(rng, base, 25, 4) + ["same copy of one text that is repeated"] * 60
+    texts = variants(rng, base, 40, 1) + variants(rng, base, 25, 4) + variants(rng, base, 30, 7) + ["same copy of one text that is repeated"] * 60
     w = [f"chain{i}" for i in range(120)]
     for step in range(12):  # each is near the one before, the ends are far apart
         texts.append(" ".join(w[step * 4 : step * 4 + 70]))
@@ -73,6 +75,13 @@ def test_large_groups_and_chains(docs_of):
     assert got == brute_classes(rows)
 
 
+def test_common_counts():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 60))) for _ in range(30)]
+    got = minhash.common_counts([minhash._occurrences(t) for t in texts[:12]], [minhash._occurrences(t) for t in texts[12:]])
+    assert all(got[i, j] == sum((bag(texts[i]) & bag(texts[12 + j])).values()) for i in range(12) for j in range(18))
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     error = []
@@ -126,7 +135,9 @@ def line_rows():
     return rows
 
 
-def test_removed_lines_match_brute_force(docs_of):
+@pytest.mark.parametrize("frequent", [1, line_dedup.FREQUENT])
+def test_removed_lines_match_brute_force(docs_of, monkeypatch, frequent):
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)  # from 1 on every word counts as frequent
     rows = line_rows()
     want = brute_lines(rows)
     got = {r["doc_id"]: r for r in line_dedup.report(docs_of(rows)).collect()}
