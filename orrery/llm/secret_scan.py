@@ -2,8 +2,9 @@
 
 The plain text is scanned first. Then every encoded segment of a layer (URL percent escapes, Unicode
 escapes, base64, and the compressed data that base64 may hold) is decoded into a new layer, which is
-scanned in its turn, until no layer yields a new one. A layer whose content was met before is not entered
-again, so cycles end. Every layer maps its characters to a span of the original text; what is found there
+scanned in its turn, until no layer yields a new one. A layer whose content was met before at the same place
+of the original text is not entered again, so cycles end, and a secret that occurs at several places is found
+at each. Every layer maps its characters to a span of the original text; what is found there
 is reported with that span, under the kind followed by the layers passed, as in `access>base64>gzip`.
 
 Defined results: a null text counts as empty, and an empty text has no findings; texts are taken whole, at
@@ -19,6 +20,7 @@ import binascii
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,18 +54,33 @@ def scan(text: str) -> list[tuple[int, int, str]]:
 
 
 class Layer:
-    """A decoded text, and for each of its characters the span of the original text it stems from."""
+    """A decoded text, and for each of its characters the span of the original text it stems from.
+
+    starts and ends are None for the original text itself, and one number each if all characters share a span.
+    """
 
     __slots__ = ("text", "starts", "ends", "path")
 
-    def __init__(self, text: str, starts: list[int] | None, ends: list[int] | None, path: tuple[str, ...]) -> None:
+    def __init__(self, text: str, starts: list[int] | int | None, ends: list[int] | int | None, path: tuple[str, ...]) -> None:
         self.text, self.starts, self.ends, self.path = text, starts, ends, path
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         if self.starts is None:
             return a, b
+        if isinstance(self.starts, int):
+            return self.starts, self.ends
         return self.starts[a], max(self.ends[a:b])
 
+    def mark(self) -> bytes:
+        """A digest of the text and of the places its characters stem from."""
+        out = hashlib.sha256(self.text.encode())
+        if isinstance(self.starts, int):
+            out.update(b"%d:%d" % (self.starts, self.ends))
+        elif self.starts is not None:
+            out.update(array("q", self.starts))
+            out.update(array("q", self.ends))
+        return out.digest()
+
 
 def _text_of(raw: bytes, at: list[tuple[int, int]]) -> tuple[str, list[int], list[int]] | None:
     """UTF-8 text of raw, and the span of each character; at has the span of each byte."""
@@ -168,7 +185,7 @@ def _base64(layer: Layer) -> Iterator[tuple[Layer | None, tuple[int, int], str]]
                 text = inflated.decode()
             except UnicodeDecodeError:
                 continue
-            yield Layer(text, [span[0]] * len(text), [span[1]] * len(text), (*layer.path, "base64", name)), span, ""
+            yield Layer(text, *span, (*layer.path, "base64", name)), span, ""
         else:
             at = [layer.span(m.start() + 4 * (i // 3), min(m.start() + 4 * (i // 3) + 4, m.end())) for i in range(len(raw))]
             made = _text_of(raw, at)
@@ -193,13 +210,14 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     base = scan(text)
     found = set(base)
     taken = [(a, b, k) for a, b, k in base]
-    work, seen = [Layer(text, None, None, ())], {hashlib.sha256(text.encode()).digest()}
+    work = [Layer(text, None, None, ())]
+    seen = {work[0].mark()}
     while work:
         for inner, span, note in _next(work.pop()):
             if inner is None:
                 found.add((*span, note))
                 continue
-            mark = hashlib.sha256(inner.text.encode()).digest()
+            mark = inner.mark()
             if mark in seen:
                 continue
             seen.add(mark)

@@ -111,6 +111,18 @@ def test_invalid_escapes_hide_nothing():
     assert [k for _, _, k in secret_scan.find(text)[1]] == ["access>url"]
 
 
+def test_repeated_encoded_secrets_are_found_at_each_place(docs_of):
+    raw = b"the key " + KEY.encode()
+    parts = [b64(raw), b64(raw), b64(gzip.compress(raw)), b64(b64(raw)), b64(gzip.compress(raw))]
+    text = "\n".join(parts)
+    starts = [sum(len(p) + 1 for p in parts[:i]) for i in range(len(parts))]
+    found = [(a, b) for a, b, k in secret_scan.find(text)[1] if k.startswith("access")]
+    assert len(found) == len(parts)
+    assert all(s <= a < b <= s + len(p) for (a, b), s, p in zip(found, starts, parts))
+    (row,) = secret_scan.redact_documents(docs_of([(1, text)])).collect()
+    assert secret_scan.find(row["text"])[1] == [] and row["text"].count("[SECRET]") == len(parts)
+
+
 def test_cycles_and_bombs_end():
     assert secret_scan.find("%25" * 2000)[1] == []
     bomb = b64(gzip.compress(b"a" * (secret_scan.MAX_LAYER + 5)))
