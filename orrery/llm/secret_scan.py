@@ -37,7 +37,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 MAX_LAYER = 16 << 20
 _KEYWORD = re.compile(r"pass|secr|toke|api", re.A | re.I)
 
@@ -223,7 +223,7 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
             seen.add(mark)
             for a, b, kind in scan(inner.text):
                 start, end = inner.span(a, b)
-                if not any(s <= start and end <= e and k == kind for s, e, k in taken):  # else plain in the text as well
+                if text[start:end] != inner.text[a:b] or not any(s <= start and end <= e and k == kind for s, e, k in taken):  # else plain in the text as well
                     found.add((start, end, ">".join((kind, *inner.path))))
             work.append(inner)
     return base, sorted(found, key=lambda x: (x[0], KINDS.index(k) if (k := x[2].partition(">")[0]) in KINDS else len(KINDS), x[1], x[2]))

@@ -111,6 +111,18 @@ def test_invalid_escapes_hide_nothing():
     assert [k for _, _, k in secret_scan.find(text)[1]] == ["access>url"]
 
 
+@pytest.mark.parametrize("text", ["blob={}", "config={} next", "https://host.example/?d={}&e=1", "a==" + "{}", "secret={}", "x={}\ny={}"])
+def test_encoded_values_behind_equals_signs(text):
+    for inner, kind in (("key " + KEY, "access"), ("here token = a1b2c3d4e5f6g7", "assign")):
+        part = b64(inner)
+        full = text.replace("{}", part)
+        found = [(a, b) for a, b, k in secret_scan.find(full)[1] if k == kind + ">base64"]
+        places = [m.start() for m in re.finditer(re.escape(part), full)]
+        assert len(found) == len(places) and all(s <= a < b <= s + len(part) for (a, b), s in zip(found, places))
+        hidden = secret_scan.redact(full, secret_scan.find(full)[1])
+        assert not secret_scan.find(hidden)[1]
+
+
 def test_repeated_encoded_secrets_are_found_at_each_place(docs_of):
     raw = b"the key " + KEY.encode()
     parts = [b64(raw), b64(raw), b64(gzip.compress(raw)), b64(b64(raw)), b64(gzip.compress(raw))]
