@@ -147,6 +147,33 @@ def test_removed_lines_match_brute_force(docs_of, monkeypatch, frequent):
         assert got[i]["n_removed"] == len(want[i])
 
 
+def brute_line_classes(rows):
+    lines = sorted({(i, n, line) for i, t in rows if i is not None for n, line in enumerate((t or "").split("\n")) if line.encode().split()})
+    first = {}
+    for i, n, line in lines:
+        first.setdefault(line, (i, n, line))
+    nodes = sorted(first.values())
+    sets, parent, links = {x: frozenset(x[2].split()) for x in nodes}, {x: x for x in nodes}, Counter()
+    for k, x in enumerate(nodes):
+        for y in nodes[:k]:
+            if 9 * len(sets[x] & sets[y]) >= 4 * (len(sets[x]) + len(sets[y])):
+                links[x] += 1
+                links[y] += 1
+                p, q = sorted((find_root(parent, x), find_root(parent, y)))
+                parent[q] = p
+    return sorted((i, n, *find_root(parent, first[line])[:2], links[first[line]]) for i, n, line in lines)
+
+
+def test_line_classes_match_brute_force(docs_of, edges, empty):
+    words = [f"v{i}" for i in range(20)]
+    two = [" ".join([*words[:16], "a", "b"]), " ".join([*words[:16], "c", "d"]), " ".join(words[:16])]  # the last is similar to both
+    rows = [*line_rows(), (5000, "\n".join(two)), (5001, two[2]), (None, two[2]), (5002, None)]
+    got = [tuple(r) for r in line_dedup.classes(docs_of(rows)).collect()]
+    assert sorted(got) == brute_line_classes(rows)
+    assert {r[4] for r in got if r[0] == 5001} == {2}
+    assert line_dedup.classes(edges).where("doc_id = 6").count() == 2 and line_dedup.classes(empty).count() == 0
+
+
 def test_matches_name_an_earlier_similar_line(docs_of):
     rows = line_rows()
     texts = {i: t.split("\n") for i, t in rows}
