@@ -4,7 +4,8 @@ Base findings come from four regular expressions and checks on what they match.
 patterns: a candidate is a run of tokens with digits or an @, a pattern is the word before or behind it.
 Candidates that hold a base finding are the seeds, with a score of 1. In each round a pattern's confidence is
 the score of its candidates over all occurrences of its word in the corpus, and another candidate's score
-is that at least one of its patterns is right. Candidates that end with a score of ACCEPT or more become
+is that at least one of its patterns is right. A pattern counts once LEAST_SEEDS different candidates support it,
+which are seeds or candidates accepted in the rounds before. Candidates that end with a score of ACCEPT or more become
 findings of kind `context`; base findings stay as they are.
 
 Defined results: a null text counts as empty, and an empty text has no findings; texts are taken whole;
@@ -30,7 +31,7 @@ PATTERNS = {
 SIGNS = {"email": "@", "phone": "+"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 _WORD, _MARKED = r"[^\s0-9@]++", r"[^\s0-9@]*+[0-9@]\S*+"
-CONTEXT = rf"(?<!\S)({_WORD})\s++({_MARKED}(?:\x20{_MARKED})*+)(?:(?=\s++({_WORD})))?"
+CONTEXT = rf"(?<!\S)(?:({_WORD})\s++)?+({_MARKED}(?:\x20{_MARKED})*+)(?:(?=\s++({_WORD})(?!\S)))?"
 ROUNDS, LEAST_SEEDS, ACCEPT, LEAST_DIGITS = 3, 3, 0.8, 4
 #: Patterns up to which their table is broadcast (about 32 MB); larger ones are joined by shuffling.
 BROADCAST_ROWS = 500_000
@@ -102,23 +103,29 @@ def _lexical(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"^[^\p{L}]+|[^\p{L}]+$", "")
 
 
+def _stands(m: Column) -> Column:
+    """Whether an accepted candidate can be a finding."""
+    return F.contains(m, F.lit("@")) | (F.length(_digits(m)) >= LEAST_DIGITS)
+
+
 def _accepted(candidates: DataFrame, docs: DataFrame) -> DataFrame:
     """Texts (m) of candidates that the graph of patterns and candidates accepts, beside the seeds."""
     sides = F.array(F.struct(F.lit("before").alias("side"), _lexical(F.col("before")).alias("word")), F.struct(F.lit("behind").alias("side"), _lexical(F.col("behind")).alias("word")))
     edges = candidates.select("m", "seed", F.explode(sides).alias("p")).select("m", "seed", "p.side", "p.word").where("word <> ''")
     edges = cut(edges.groupBy("m", "side", "word").agg(F.max("seed").alias("seed"), F.count("*").alias("times")))
-    # Patterns that no round could accept carry nothing: too few seeds.
-    useful = edges.groupBy("side", "word").agg(F.count_if("seed").alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS)
-    useful = cut(useful.select("side", "word"))
-    words = useful.select("word").distinct()
+    # Support is told anew in each round; patterns of fewer candidates, whether seeds or not, cannot have it in any.
+    possible = cut(edges.groupBy("side", "word").count().where(F.col("count") >= LEAST_SEEDS).select("side", "word"))
+    words = possible.select("word").distinct()
     words = F.broadcast(words) if words.count() <= BROADCAST_ROWS else words
     tokens = docs.select(F.explode(F.split("text", r"\s+")).alias("w")).where(F.regexp_like("w", F.lit(r"\A[^0-9@]+\z")))
     totals = tokens.groupBy("w").agg(F.count("*").alias("c")).select(_lexical(F.col("w")).alias("word"), "c").join(words, "word").groupBy("word").agg(F.sum("c").alias("total"))
-    edges = cut(edges.join(useful, ["side", "word"]).join(totals, "word"))
+    edges = cut(edges.join(possible, ["side", "word"]).join(totals, "word"))
     score = edges.select("m", F.col("seed").cast("double").alias("s")).groupBy("m").agg(F.max("s").alias("s"))
     for _ in range(ROUNDS):
-        pattern = edges.join(score, "m").groupBy("side", "word").agg((F.sum(F.col("s") * F.col("times")) / F.max("total")).alias("sure"))
-        again = edges.join(pattern, ["side", "word"]).groupBy("m").agg(F.max(F.col("seed").cast("double")).alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.least(F.lit(1.0), F.col("sure"))))))).alias("s"))
+        supports = F.col("seed") | (F.col("s") >= ACCEPT) & _stands(F.col("m"))
+        pattern = edges.join(score, "m").groupBy("side", "word").agg((F.sum(F.col("s") * F.col("times")) / F.max("total")).alias("sure"), F.count_if(supports).alias("support"))
+        pattern = pattern.where(F.col("support") >= LEAST_SEEDS).drop("support")
+        again = edges.join(pattern, ["side", "word"], "left").withColumn("sure", F.coalesce("sure", F.lit(0.0))).groupBy("m").agg(F.max(F.col("seed").cast("double")).alias("seed"), (1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.least(F.lit(1.0), F.col("sure"))))))).alias("s"))
         score = cut(again.select("m", F.greatest("seed", "s").alias("s")))
     return score.where(F.col("s") >= ACCEPT).join(edges.where(~F.col("seed")).select("m").distinct(), "m", "left_semi").select("m")
 
@@ -133,7 +140,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     base = each.where(F.col("kind") != "context").where(_valid(F.col("kind"), F.col("m"))).select("rid", "kind", "start", "end")
     candidates = cut(each.where(F.col("kind") == "context").withColumn("seed", _holds_base(F.col("m"))))
     new = _accepted(candidates, docs)
-    new = new.where(F.contains("m", F.lit("@")) | (F.length(_digits(F.col("m"))) >= LEAST_DIGITS))
+    new = new.where(_stands(F.col("m")))
     extra = candidates.where(~F.col("seed")).join(new, "m", "left_semi").select("rid", "kind", "start", "end")
     order = F.array_position(F.array(*map(F.lit, (*KINDS, "context"))), F.col("kind"))
     spans = base.union(extra).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), "start", "end", "kind"))).alias("spans"))

@@ -187,3 +187,21 @@ def test_contexts_find_unseen_identifiers(docs_of):
     got = {r["doc_id"]: r["spans"] for r in pii.report(docs_of(rows)).collect()}
     assert [got[100 + i] for i in range(3)] == ["context:13:23"] * 3
     assert not any("context" in got[200 + i] for i in range(5))
+
+
+def test_contexts_learn_from_accepted_candidates(docs_of):
+    rows = [(i, f"Member: user{i}@mail.example.com of ours") for i in range(100)]
+    rows += [(200 + i, f"word Member: QX-{4899310 + i} of it") for i in range(12)] + [(300 + i, f"word Holder: QX-{4899310 + i}") for i in range(12)]
+    rows += [(400, "word Holder: ZW-7712345"), (401, "word Nobody: ZW-9912345")]
+    rows += [(500 + i, "the place of it and of us") for i in range(100)]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs_of(rows)).collect()}
+    assert got[200] == "context:13:23" and got[300] == "context:13:23"
+    assert got[400] == "context:13:23"  # its word stands beside accepted candidates alone
+    assert got[401] == ""
+
+
+def test_contexts_need_a_word_on_one_side_only(docs_of):
+    rows = [(i, f"mail user{i}@mail.example.com signed") for i in range(40)]
+    rows += [(100, "ZW-7712345 signed"), (101, "page 12\nZW-8812345 signed"), (102, "ZW-9912345 left"), (103, "ZW-9912399\nsigned4 x")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs_of(rows)).collect()}
+    assert got[100] == "context:0:10" and got[101] == "context:8:18" and got[102] == "" and got[103] == ""
