@@ -8,7 +8,8 @@ at each. Every layer maps its characters to a span of the original text; what is
 is reported with that span, under the kind followed by the layers passed, as in `access>base64>gzip`.
 
 Defined results: a null text counts as empty, and an empty text has no findings; texts are taken whole, at
-any length; each row is judged alone, so repeated rows agree; other columns are ignored. A compressed layer
+any length; each row is judged alone, so repeated rows agree; other columns are ignored. Bytes of base64 that are
+no UTF-8 count as U+FFFD; compressed data is unwrapped until none is left, all its members taken. A compressed layer
 is read up to MAX_LAYER bytes, a guard against archives made to exhaust memory; one beyond is reported as a
 finding of kind `oversize`, so it is never passed over silently.
 """
@@ -39,6 +40,7 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 MAX_LAYER = 16 << 20
+_INVALID = re.compile("[\udc80-\udcff]")
 _KEYWORD = re.compile(r"pass|secr|toke|api", re.A | re.I)
 
 
@@ -82,19 +84,16 @@ class Layer:
         return out.digest()
 
 
-def _text_of(raw: bytes, at: list[tuple[int, int]]) -> tuple[str, list[int], list[int]] | None:
-    """UTF-8 text of raw, and the span of each character; at has the span of each byte."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
+def _text_of(raw: bytes, at: list[tuple[int, int]]) -> tuple[str, list[int], list[int]]:
+    """UTF-8 text of raw, and the span of each character; at has the span of each byte. An invalid byte becomes U+FFFD."""
+    text = raw.decode(errors="surrogateescape")
     starts, ends, i = [], [], 0
     for c in text:
-        n = len(c.encode())
+        n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
         starts.append(at[i][0])
         ends.append(at[i + n - 1][1])
         i += n
-    return text, starts, ends
+    return _INVALID.sub("\ufffd", text), starts, ends
 
 
 def _printable(text: str) -> bool:
@@ -126,8 +125,7 @@ def _escapes(layer: Layer, pattern: re.Pattern, name: str, decode) -> Layer | No
     if not hit:
         return None
     plain(last, len(layer.text))
-    made = _text_of(b"".join(bytes_), at)
-    return Layer(*made, (*layer.path, name)) if made else None
+    return Layer(*_text_of(b"".join(bytes_), at), (*layer.path, name))
 
 
 def _code_point(escape: str) -> bytes | None:
@@ -148,20 +146,53 @@ def _percent(run: str) -> bytes | None:
     return raw
 
 
-def _inflate(raw: bytes) -> tuple[bytes | None, bool, str]:
-    """Content of gzip or zlib data, whether it is larger than MAX_LAYER, and the name of the format."""
-    if raw[:2] == b"\x1f\x8b":
-        bits, name = 31, "gzip"
-    elif len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        bits, name = 15, "zlib"
-    else:
-        return None, False, ""
+def _members(raw: bytes) -> tuple[list[bytes], bytes, str, bool]:
+    """Content of each gzip or zlib member that raw begins with, the bytes behind them, the name of the first one's format, and whether all end.
+
+    Reading stops beyond MAX_LAYER bytes of content in all.
+    """
+    out, first, room, whole = [], "", MAX_LAYER + 1, True
+    while room > 0:
+        if raw[:2] == b"\x1f\x8b":
+            bits, name = 31, "gzip"
+        elif len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
+            bits, name = 15, "zlib"
+        else:
+            break
+        try:
+            d = zlib.decompressobj(bits)
+            part = d.decompress(raw, room)
+        except zlib.error:
+            break
+        out.append(part)
+        first, room, raw, whole = first or name, room - len(part), d.unused_data, d.eof
+    return out, raw, first, whole
+
+
+def _contents(raw: bytes) -> Iterator[tuple[bytes | None, tuple[str, ...]]]:
+    """What raw holds, unwrapped until no compressed data is left, with the formats passed; None for more than MAX_LAYER bytes."""
+    work, seen = [(raw, ())], set()
+    while work:
+        raw, names = work.pop()
+        if (digest := hashlib.sha256(raw).digest()) in seen:
+            continue
+        seen.add(digest)
+        parts, rest, name, whole = _members(raw)
+        if sum(map(len, parts)) > MAX_LAYER:
+            yield None, (*names, name)
+            continue
+        if parts:
+            work.append((b"".join([*parts, rest]), (*names, name)))
+            work += [(x, (*names, name)) for x in parts[1:] if _members(x)[0]]  # compressed behind another member's content
+        if not parts or not whole or _plain(raw):  # other data may begin like a header
+            yield raw, names
+
+
+def _plain(raw: bytes) -> bool:
     try:
-        d = zlib.decompressobj(bits)
-        out = d.decompress(raw, MAX_LAYER + 1)
-    except zlib.error:
-        return None, False, ""
-    return (None, True, name) if len(out) > MAX_LAYER else (out, False, name)
+        return _printable(raw.decode())
+    except UnicodeDecodeError:
+        return False
 
 
 def _base64(layer: Layer) -> Iterator[tuple[Layer | None, tuple[int, int], str]]:
@@ -177,20 +208,15 @@ def _base64(layer: Layer) -> Iterator[tuple[Layer | None, tuple[int, int], str]]
         except (binascii.Error, ValueError):
             continue
         span = layer.span(m.start(), m.end())
-        inflated, oversize, name = _inflate(raw)
-        if oversize:
-            yield None, span, ">".join(("oversize", *layer.path, "base64", name))
-        elif inflated is not None:
-            try:
-                text = inflated.decode()
-            except UnicodeDecodeError:
-                continue
-            yield Layer(text, *span, (*layer.path, "base64", name)), span, ""
-        else:
-            at = [layer.span(m.start() + 4 * (i // 3), min(m.start() + 4 * (i // 3) + 4, m.end())) for i in range(len(raw))]
-            made = _text_of(raw, at)
-            if made and _printable(made[0]):
-                yield Layer(*made, (*layer.path, "base64")), span, ""
+        for content, names in _contents(raw):
+            path = (*layer.path, "base64", *names)
+            if content is None:
+                yield None, span, ">".join(("oversize", *path))
+            elif names:
+                yield Layer(content.decode(errors="replace"), *span, path), span, ""
+            else:
+                at = [layer.span(m.start() + 4 * (i // 3), min(m.start() + 4 * (i // 3) + 4, m.end())) for i in range(len(raw))]
+                yield Layer(*_text_of(raw, at), path), span, ""
 
 
 def _next(layer: Layer) -> Iterator[tuple[Layer | None, tuple[int, int], str]]:

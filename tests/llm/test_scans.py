@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -141,6 +142,36 @@ def test_cycles_and_bombs_end():
     assert [k for _, _, k in secret_scan.find(bomb)[1]] == ["oversize>base64>gzip"]
 
 
+SECRET = b"here token = a1b2c3d4e5f6g7 there"
+
+
+@pytest.mark.parametrize(
+    ("raw", "kind"),
+    [
+        (gzip.compress(gzip.compress(SECRET)), "assign>base64>gzip>gzip"),
+        (zlib.compress(gzip.compress(SECRET)), "assign>base64>zlib>gzip"),
+        (gzip.compress(zlib.compress(gzip.compress(SECRET))), "assign>base64>gzip>zlib>gzip"),
+        (gzip.compress(b"first ") + gzip.compress(SECRET), "assign>base64>gzip"),
+        (gzip.compress(SECRET[:15]) + gzip.compress(SECRET[15:]), "assign>base64>gzip"),
+        (gzip.compress(b"first ") + gzip.compress(gzip.compress(SECRET)), "assign>base64>gzip>gzip"),
+        (gzip.compress(b"first ") + SECRET, "assign>base64>gzip"),
+        (gzip.compress(b"\xff " + SECRET), "assign>base64>gzip"),
+        (b"\xff\x00 " + SECRET, "assign>base64"),
+        (b"hb " + SECRET, "assign>base64"),  # begins like zlib data
+    ],
+    ids=range(10),
+)
+def test_compressed_layers_are_unwrapped_to_the_end(raw, kind):
+    text = "x " + b64(raw) + " y"
+    found = [x for x in secret_scan.find(text)[1] if x[2].startswith("assign")]
+    assert [k for _, _, k in found] == [kind] and all(2 <= a < b <= len(text) - 2 for a, b, _ in found)
+
+
+def test_nested_bomb_is_reported():
+    bomb = b64(gzip.compress(gzip.compress(b"a" * (secret_scan.MAX_LAYER + 5))))
+    assert [k for _, _, k in secret_scan.find(bomb)[1]] == ["oversize>base64>gzip>gzip"]
+
+
 def test_redaction(docs_of):
     df = docs_of([(1, f"a {KEY} b"), (2, None), (3, "clean")])
     rows = {r["doc_id"]: r for r in secret_scan.redact_documents(df).collect()}
