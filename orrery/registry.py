@@ -200,13 +200,14 @@ def search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store(spark: SparkSession, sf_dir: str) -> str:
-    """The table as a Zarr store (y, x, embedding) in the folder that executors share; a last incomplete row is left out."""
+    """The table as a Zarr store (y, x, embedding) in the folder that executors share. Whole cells are laid out; places without a vector hold NaN, which no search counts."""
     table = embeddings(spark, sf_dir)
-    n, size = table.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    last, size = table.agg(F.max("vec_id"), F.max(F.size("embedding"))).first()
+    height = 0 if last is None else (last // (WIDTH * CELL) + 1) * CELL
     shared = spark.conf.get("spark.checkpoint.dir", None)
     url = f"{shared.rstrip('/')}/orrery-zarr-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="orrery-zarr-")
-    cells = table.where(F.col("vec_id") < n // WIDTH * WIDTH).select(F.floor(F.col("vec_id") / WIDTH).alias("y"), (F.col("vec_id") % WIDTH).alias("x"), "embedding")
-    zarr.write_vectors(cells, url, "embeddings", [n // WIDTH, WIDTH], [CELL, CELL], ["y", "x"], size, spatial="0 1 0 0 0 1")
+    cells = table.where(F.col("vec_id").isNotNull()).select(F.floor(F.col("vec_id") / WIDTH).alias("y"), (F.col("vec_id") % WIDTH).alias("x"), "embedding")
+    zarr.write_vectors(cells, url, "embeddings", [height, WIDTH], [CELL, CELL], ["y", "x"], size or 1, spatial="0 1 0 0 0 1", fill=float("nan"))
     return url
 
 

@@ -265,10 +265,10 @@ def transforms_of(spark: SparkSession, urls: Sequence[str], store_kwargs: dict[s
     return spark.createDataFrame(rows, "url string, ox double, pw double, rr double, oy double, cr double, ph double")
 
 
-def _write_meta(store: Store, name: str, shape: Sequence[int], chunks: Sequence[int], dims: Sequence[str], dtype: np.dtype, version: int, codec: str | None, spatial: str | Sequence[float] | None) -> None:
+def _write_meta(store: Store, name: str, shape: Sequence[int], chunks: Sequence[int], dims: Sequence[str], dtype: np.dtype, version: int, codec: str | None, spatial: str | Sequence[float] | None, fill: float = 0) -> None:
     if version == 2:
         store.put(".zgroup", json.dumps({"zarr_format": 2}).encode())
-        meta = {"zarr_format": 2, "shape": list(shape), "chunks": list(chunks), "dtype": dtype.newbyteorder("<").str, "compressor": {"id": codec} if codec else None, "fill_value": 0, "order": "C", "filters": None}
+        meta = {"zarr_format": 2, "shape": list(shape), "chunks": list(chunks), "dtype": dtype.newbyteorder("<").str, "compressor": {"id": codec} if codec else None, "fill_value": fill if np.isfinite(fill) else "NaN" if np.isnan(fill) else "Infinity" if fill > 0 else "-Infinity", "order": "C", "filters": None}
         store.put(f"{name}/.zarray", json.dumps(meta).encode())
         store.put(f"{name}/.zattrs", json.dumps({DIMENSIONS: list(dims)}).encode())
         if spatial is not None:
@@ -278,7 +278,7 @@ def _write_meta(store: Store, name: str, shape: Sequence[int], chunks: Sequence[
     group = {"zarr_format": 3, "node_type": "group", "attributes": {}}
     store.put("zarr.json", json.dumps(group).encode())
     codecs = [{"name": "bytes", "configuration": {"endian": "little"}}] + ([{"name": codec, "configuration": {}}] if codec else [])
-    meta = {"zarr_format": 3, "node_type": "array", "shape": list(shape), "data_type": dtype.name, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(chunks)}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": 0, "codecs": codecs, "attributes": {DIMENSIONS: list(dims)}}
+    meta = {"zarr_format": 3, "node_type": "array", "shape": list(shape), "data_type": dtype.name, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(chunks)}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": fill if np.isfinite(fill) else "NaN" if np.isnan(fill) else "Infinity" if fill > 0 else "-Infinity", "codecs": codecs, "attributes": {DIMENSIONS: list(dims)}}
     store.put(f"{name}/zarr.json", json.dumps(meta).encode())
     if spatial is not None:
         store.put("spatial_ref/zarr.json", json.dumps(group | {"attributes": {"GeoTransform": spatial}}).encode())
@@ -307,17 +307,17 @@ def write_array(url: str, name: str, data: np.ndarray, chunks: Sequence[int], di
         _write_chunk(store, name, index, block, version, codec)
 
 
-def write_vectors(df: DataFrame, url: str, name: str, shape: Sequence[int], chunks: Sequence[int], dims: Sequence[str], size: int, version: int = 3, codec: str | None = "zstd", spatial: str | Sequence[float] | None = None, embedding_dim_name: str = "embedding") -> int:
+def write_vectors(df: DataFrame, url: str, name: str, shape: Sequence[int], chunks: Sequence[int], dims: Sequence[str], size: int, version: int = 3, codec: str | None = "zstd", spatial: str | Sequence[float] | None = None, embedding_dim_name: str = "embedding", fill: float = 0) -> int:
     """Write a DataFrame (one column for each index axis, and embedding of `size` numbers) as 32-bit floats; each task writes whole chunks.
 
-    The embedding axis comes last, in one chunk. Cells without a row stay zero. Returns the chunks written.
+    The embedding axis comes last, in one chunk. Cells without a row hold `fill`. Returns the chunks written.
     """
-    _write_meta(Store(url), name, [*shape, size], [*chunks, size], [*dims, embedding_dim_name], np.dtype("float32"), version, codec, spatial)
+    _write_meta(Store(url), name, [*shape, size], [*chunks, size], [*dims, embedding_dim_name], np.dtype("float32"), version, codec, spatial, fill)
     cells = [f"_{d}" for d in dims]
 
     def write(table: pa.Table) -> pa.Table:
         index = [table.column(c)[0].as_py() for c in cells]
-        block = np.zeros((*chunks, size), dtype=np.float32)
+        block = np.full((*chunks, size), fill, dtype=np.float32)
         at = tuple(table.column(d).to_numpy() - i * c for d, i, c in zip(dims, index, chunks))
         block[at] = np.stack(table.column("embedding").to_pylist()).astype(np.float32)
         _write_chunk(Store(url), name, [*index, 0], block, version, codec)

@@ -1,8 +1,10 @@
 import json
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from orrery import registry
 from orrery.operators import manifest as M
 from orrery.operators.geo import Area
 from orrery.plans import search
@@ -144,3 +146,26 @@ def test_written_by_tasks(spark, tmp_path):
     assert zarr.write_vectors(spark.createDataFrame(rows, "y long, x long, embedding array<float>"), url, "embeddings", [3, 5], [2, 2], ["y", "x"], 2) == 6
     got, _ = zarr.Reader().read(url, part(y=(0, 3), x=(0, 5)))
     assert got.tolist() == [v for _, _, v in rows]
+
+
+@pytest.mark.parametrize("ids", [list(range(37)), [*range(260), 300, 401, 1003], [7], []])
+def test_registered_stores_hold_every_row(spark, tmp_path, ids):
+    rng = np.random.default_rng(len(ids))
+    vectors = {i: rng.standard_normal(4).astype(np.float32) for i in ids}
+    rows = [(i, v.tolist(), 0) for i, v in vectors.items()]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    cells = Counter((i // 25 // 10 * 10, i % 25 // 10 * 10) for i in ids)
+    want = sorted((f"y={y}:{y + 10}/x={x}:{min(x + 10, 25)}", n) for (y, x), n in cells.items())
+    assert sorted((r["chunk"], r["count"]) for r in registry.zarr_manifest(spark, str(tmp_path)).collect()) == want
+    got = registry.zarr_roundtrip_knn(spark, str(tmp_path)).collect()
+    for q in (i for i in ids if i % 50 == 0):
+        near = sorted(float(((v.astype(float) - vectors[q].astype(float)) ** 2).sum()) for v in vectors.values())[:10]
+        np.testing.assert_allclose([r["distance"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])], near, atol=1e-3)
+
+
+@pytest.mark.parametrize("version", [2, 3])
+def test_cells_without_a_row_hold_the_fill(spark, tmp_path, version):
+    url = str(tmp_path / "f.zarr")
+    zarr.write_vectors(spark.createDataFrame([(0, 0, [1.0, 2.0])], "y long, x long, embedding array<float>"), url, "embeddings", [2, 1], [1, 1], ["y", "x"], 2, version=version, fill=float("nan"))
+    got, _ = zarr.Reader().read(url, part(y=(0, 2), x=(0, 1)))
+    assert got[0].tolist() == [1.0, 2.0] and np.isnan(got[1]).all()
