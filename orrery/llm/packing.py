@@ -13,7 +13,9 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,9 +28,6 @@ from pyspark.sql import functions as F
 from .common import partitions, slices, text_or_empty
 
 BLOCK = 1 << 16
-PASSES = 4
-#: Effort of the two-for-one search, in bins looked at for each piece. It bounds time, not what is packed.
-PROBES = 20
 
 
 class Bins:
@@ -62,113 +61,109 @@ class Bins:
 
 def improve(bins: Bins, sizes: list[int]) -> None:
     """Exchange or move pieces between underfull bins, towards the fuller of two, until a pass changes nothing."""
+    while _pass(bins, sizes):
+        pass
+
+
+def _pass(bins: Bins, sizes: list[int]) -> bool:
+    """Fill each underfull bin, the fullest first, from those that are left, and tell whether anything changed.
+
+    Bins that are left are no fuller than the current one: it only gains, and they only lose. So whatever has the
+    right size will do, and the first of a size, or of a sum of two, is found in one look at a bit set.
+    """
     cap, fill, items = bins.capacity, bins.fill, bins.items
-    budget = [PROBES * len(sizes)]
-    for _ in range(PASSES):
-        under = sorted((b for b in range(len(fill)) if 0 < fill[b] < cap), key=lambda b: -fill[b])
-        held: dict[int, set[tuple[int, int]]] = {}
-        present = 0
-        where = {}
-
-        def put(b: int, item: int) -> None:
-            nonlocal present
-            held.setdefault(sizes[item], set()).add((b, item))
-            present |= 1 << sizes[item]
-            where[item] = b
-
-        def take(b: int, item: int) -> None:
-            nonlocal present
-            s = held[sizes[item]]
-            s.discard((b, item))
-            if not s:
-                present &= ~(1 << sizes[item])
-
-        def shift(item: int, a: int, b: int) -> None:
-            take(a, item)
-            items[a].remove(item)
-            fill[a] -= sizes[item]
-            items[b].append(item)
-            fill[b] += sizes[item]
-            if b in open_bins:
-                put(b, item)
-
-        def largest(low: int, high: int, least: int) -> tuple[int, int] | None:
-            """An item of a less full open bin, with a size in low..high, as large as there is."""
-            found = present & ((1 << (high + 1)) - 1) & ~((1 << low) - 1) if high >= low else 0
-            while found:
-                size = found.bit_length() - 1
-                for b, item in held[size]:
-                    if fill[b] <= least:
-                        return b, item
-                found &= ~(1 << size)
-            return None
-
-        open_bins = set(under)
-        for b in under:
-            for item in items[b]:
-                put(b, item)
-        changed = False
-        for current in under:
-            if not 0 < fill[current] < cap:
+    single: dict[int, dict[tuple[int, int], None]] = {}  # size: bins and items
+    double: dict[int, dict[int, tuple[int, int]]] = {}  # sum of two sizes: bin and the sizes
+    sums: dict[int, set[int]] = {}  # of each bin left
+    present = [0, 0]
+
+    def index(b: int) -> None:
+        for item in items[b]:
+            single.setdefault(sizes[item], {})[b, item] = None
+            present[0] |= 1 << sizes[item]
+        many = Counter(sizes[item] for item in items[b])
+        kinds = sorted(many)
+        mine = sums[b] = set()
+        for i, one in enumerate(kinds):
+            for two in kinds[i + (many[one] == 1) :]:
+                if one + two not in mine:
+                    mine.add(one + two)
+                    double.setdefault(one + two, {})[b] = one, two
+                    present[1] |= 1 << one + two
+
+    def forget(b: int) -> None:
+        for item in items[b]:
+            size = sizes[item]
+            del single[size][b, item]
+            if not single[size]:
+                present[0] &= ~(1 << size)
+        for total in sums.pop(b):
+            del double[total][b]
+            if not double[total]:
+                present[1] &= ~(1 << total)
+
+    def largest(kind: int, low: int, high: int) -> int:
+        """The largest size (kind 0) or sum of two (1) in low..high, or 0."""
+        return max(0, (present[kind] >> low << low & (1 << high + 1) - 1).bit_length() - 1)
+
+    def swap(b: int, give: list[int], mine: int | None) -> None:
+        forget(b)
+        for item in give:
+            items[b].remove(item)
+            items[current].append(item)
+        if mine is not None:
+            items[current].remove(mine)
+            items[b].append(mine)
+        gained = sum(sizes[x] for x in give) - (0 if mine is None else sizes[mine])
+        fill[current] += gained
+        fill[b] -= gained
+        index(b)
+        even.discard(b)
+        heapq.heappush(order, (-fill[b], b))
+
+    order = [(-f, b) for b, f in enumerate(fill) if 0 < f < cap]
+    heapq.heapify(order)
+    for _, b in order:
+        index(b)
+    changed, level = False, cap
+    even: set[int] = set()  # bins done that are as full as the current one, which may take from them
+    while order:
+        f, current = heapq.heappop(order)
+        if current not in sums or current in even or -f != fill[current]:
+            continue  # done, or less full by now
+        if fill[current] < level:
+            level = fill[current]
+            for b in even:
+                forget(b)
+            even.clear()
+        if not items[current]:
+            del sums[current]
+            continue
+        forget(current)
+        step = True
+        while step and fill[current] < cap:
+            step, room = False, cap - fill[current]
+            if size := largest(0, 1, room):  # move
+                b, item = next(iter(single[size]))
+                swap(b, [item], None)
+                step = changed = True
                 continue
-            open_bins.discard(current)
-            for item in items[current]:
-                take(current, item)
-            step = True
-            while step and fill[current] < cap:
-                step, room = False, cap - fill[current]
-                if got := largest(1, room, fill[current]):  # move
-                    shift(got[1], got[0], current)
-                    step = True
+            for size, mine in sorted({sizes[x]: x for x in items[current]}.items()):
+                if other := largest(0, size + 1, size + room):  # one for one
+                    b, item = next(iter(single[other]))
+                    swap(b, [item], mine)
+                elif total := largest(1, size + 1, size + room):  # two for one
+                    b, (one, two) = next(iter(double[total].items()))
+                    first = next(x for x in items[b] if sizes[x] == one)
+                    swap(b, [first, next(x for x in items[b] if sizes[x] == two and x != first)], mine)
                 else:
-                    for mine in sorted(items[current], key=sizes.__getitem__):
-                        if got := largest(sizes[mine] + 1, sizes[mine] + room, fill[current]):  # one for one
-                            b, other = got
-                            shift(other, b, current)
-                            items[current].remove(mine)
-                            fill[current] -= sizes[mine]
-                            items[b].append(mine)
-                            fill[b] += sizes[mine]
-                            put(b, mine)
-                            step = True
-                            break
-                        pair = _pair(items, sizes, fill, held, present, sizes[mine], room, fill[current], budget) if budget[0] > 0 else None
-                        if pair:  # two for one
-                            b, one, two = pair
-                            shift(one, b, current)
-                            shift(two, b, current)
-                            items[current].remove(mine)
-                            fill[current] -= sizes[mine]
-                            items[b].append(mine)
-                            fill[b] += sizes[mine]
-                            put(b, mine)
-                            step = True
-                            break
-                changed |= step
-        if not changed:
-            break
-
-
-def _pair(items, sizes, fill, held, present: int, size: int, room: int, least: int, budget: list[int]) -> tuple[int, int, int] | None:
-    """Two items of one less full bin, together larger than `size` by at most `room`. Each bin looked at costs one of the budget."""
-    mirror = int(f"{present:b}"[::-1], 2) if present else 0  # bit i stands for size top - i
-    top = present.bit_length() - 1
-    for total in range(size + room, size, -1):
-        shift = top - total
-        both = present & (mirror >> shift if shift >= 0 else mirror << -shift)
-        both &= (1 << (total // 2 + 1)) - 1
-        while both:
-            one = both.bit_length() - 1
-            for b, a in held[one]:
-                budget[0] -= 1
-                if budget[0] < 0:
-                    return None
-                if fill[b] <= least:
-                    for c in items[b]:
-                        if c != a and sizes[c] == total - one:
-                            return b, a, c
-            both &= ~(1 << one)
-    return None
+                    continue
+                step = changed = True
+                break
+        if fill[current] == level:
+            index(current)
+            even.add(current)
+    return changed
 
 
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:

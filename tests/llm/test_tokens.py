@@ -69,6 +69,29 @@ def test_local_search_empties_bins():
     assert len(bins) == 3 and all(sum(sizes[i] for i in b) == 10 for b in bins)
 
 
+def steps_left(bins, sizes, capacity):
+    """Moves and exchanges, one or two for one, that would still make the fuller of two underfull bins fuller."""
+    loads = [sorted(sizes[i] for i in b) for b in bins]
+    loads = [x for x in loads if sum(x) < capacity]
+    gains = [set(x) | {a + b for i, a in enumerate(x) for b in x[:i]} for x in loads]
+    found = 0
+    for c in loads:
+        room = capacity - sum(c)
+        for x, y in zip(loads, gains):
+            if x is not c and sum(x) <= sum(c):
+                found += min(x) <= room or any(0 < g - m <= room for m in set(c) for g in y)
+    return found
+
+
+def test_local_search_runs_until_no_step_helps():
+    rng = random.Random(1)
+    for hot in (0, 0.34, 0.6):
+        sizes = [400 if rng.random() < hot else rng.randint(200, 700) for _ in range(3000)]
+        bins = packing.pack(sizes, 1024)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 1024 for b in bins)
+        assert steps_left(bins, sizes, 1024) == 0
+
+
 def test_documents_are_packed_whole(sample, edges, empty):
     slow = Tokenizer.from_file(VOCABULARY)
     for df in (sample, edges):
