@@ -1,45 +1,141 @@
 """Bounds of (query, chunk) pairs, and the threshold beyond which a chunk holds no neighbour.
 
-Queries are held in blocks of a bounded number. A manifest row meets each block once by an equi-join on the
-block's number, and the queries of a block are compared in one column expression, so no side is broadcast
-that grows with the data.
+The manifest stays where it lies. Queries come to it in blocks of at most BLOCK_BYTES, each sent to the workers by
+itself, and a batch of chunks meets a block in array operations; so no key gathers rows, and what is sent is bounded.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
 
-QUERY_BLOCK = 1_024
+QUERY_BLOCK, BLOCK_BYTES = 1_024, 32 << 20
 #: Looseness that covers rounding of 32-bit summaries.
 RELATIVE, ABSOLUTE = 1e-6, 1e-12
-
-
-def lower_bound_pairs(manifest: DataFrame, queries: DataFrame, metric: str = "euclidean") -> DataFrame:
+#: Numbers in one block of pairwise differences.
+BLOCK = 1 << 21
+#: Rows of pairs in one batch.
+PAIR_ROWS = 1 << 17
+
+
+def pairwise(vectors: np.ndarray, queries: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    """Distances (queries, vectors) in double, by direct differences in blocks, so that nothing cancels."""
+    if queries.ndim != 2:
+        raise ValueError(f"queries must have the shape (nq, d), not {queries.shape}")
+    if vectors.size and vectors.shape[1] != queries.shape[1]:
+        raise ValueError(f"vectors have dimension {vectors.shape[1]}, queries {queries.shape[1]}")
+    v, q = vectors.astype(np.float64), queries.astype(np.float64)
+    if metric == "cosine":
+        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), V.FLOAT_EPS)
+        return 1 - unit(q) @ unit(v).T
+    V.metric(metric)
+    out = np.empty((len(q), len(v)))
+    rows = max(1, BLOCK // max(1, v.size))
+    for i in range(0, len(q), rows):
+        d = q[i : i + rows, None, :] - v[None, :, :]
+        out[i : i + rows] = np.einsum("qvd,qvd->qv", d, d)
+    return out
+
+
+def stack(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one length as a matrix."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    sizes = np.concatenate([np.empty(0, np.int64), *(pyarrow.compute.list_value_length(x).to_numpy(zero_copy_only=False) for x in chunks)])
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors differ in dimension")
+    flat = np.concatenate([np.empty(0, np.float32), *(x.flatten().to_numpy(zero_copy_only=False) for x in chunks)])
+    return flat.reshape(len(sizes), -1) if len(sizes) else np.empty((0, 0))
+
+
+def block_frames(queries: DataFrame) -> list[DataFrame]:
+    """The queries (query_id, q) in blocks of BLOCK_BYTES or so, by a hash of their ids. Without queries, no block."""
+    n, d = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    count = -(-n * (d + 1) * 8 // BLOCK_BYTES)
+    named = queries.select("query_id", "q")
+    return [named.where(F.pmod(F.xxhash64("query_id"), F.lit(count)) == i) if count > 1 else named for i in range(count)]
+
+
+def query_blocks(queries: DataFrame) -> list[Broadcast]:
+    """Each block of the queries as (ids, matrix), sent to the workers."""
+    out = []
+    for part in block_frames(queries):
+        table = part.orderBy("query_id").toArrow()
+        out.append(queries.sparkSession.sparkContext.broadcast((table.column("query_id").to_numpy(), stack(table.column("q")).astype(np.float64))))
+    return out
+
+
+def over_blocks(df: DataFrame, queries: DataFrame, work: Callable[[Iterator[pa.RecordBatch], np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What work makes of the batches of df and of each block of queries; df is read once for each block and never moved."""
+    made: DataFrame | None = None
+    for sent in query_blocks(queries):
+
+        def run(batches: Iterator[pa.RecordBatch], sent: Any = sent) -> Iterator[pa.RecordBatch]:
+            yield from work(batches, *sent.value)
+
+        part = df.mapInArrow(run, schema)
+        made = part if made is None else made.union(part)
+    return df.sparkSession.createDataFrame([], schema) if made is None else made
+
+
+def ball_bounds(centroids: np.ndarray, radius: np.ndarray, queries: np.ndarray, metric: str = "euclidean") -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds (queries, chunks) on the distance to anything in each ball. A ball that is not finite has bounds of zero and infinity."""
+    d = pairwise(centroids, queries, "euclidean")
+    reach = np.sqrt(d)
+    low = np.maximum(0.0, pairwise(centroids, queries, metric) - radius) if metric == "cosine" else np.maximum(0.0, reach - radius) ** 2
+    high = (reach + radius) ** 2
+    odd = ~(np.isfinite(low) & np.isfinite(high))
+    low[odd], high[odd] = 0.0, np.inf
+    return low, high
+
+
+def _filled(high: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
+    """Of each query the least upper bound such that chunks up to it hold k vectors, or infinity."""
+    order = np.argsort(high, axis=1, kind="stable")
+    enough = np.cumsum(counts[order], axis=1) >= k
+    first = enough.argmax(axis=1)
+    at = order[np.arange(len(high)), first]
+    return np.where(enough.any(axis=1), high[np.arange(len(high)), at], np.inf)
+
+
+def lower_bound_pairs(manifest: DataFrame, queries: DataFrame, metric: str = "euclidean", k: int | None = None) -> DataFrame:
     """query_id, chunk_id, count, lower_bound, upper_bound of every query and chunk.
 
     manifest: chunk_id, count, centroid, radius. queries: query_id, q. A chunk whose summary is not finite has
-    bounds of zero and infinity, so it is never dropped.
+    bounds of zero and infinity, so it is never dropped. With k, a task leaves out the pairs that the chunks it has seen
+    rule out already for the k nearest, so that chunks times queries never becomes a table; the threshold of what is
+    left is that of all pairs.
     """
-    _, bound = V.metric(metric)
-    count = blocks_of(queries)
-    every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    left = manifest.select("chunk_id", "count", "centroid", F.col("radius").cast("double").alias("radius"), every.alias("block"))
-    pairs = left.join(blocked(queries, count), "block")
-    low, high = bound("q", "centroid", "radius"), V.l2_upper_bound("q", "centroid", "radius")
-    odd = F.isnan(low) | low.isNull() | F.isnan(F.coalesce(F.col("radius"), F.lit(float("nan"))))
-    return pairs.select("query_id", "chunk_id", "count", F.when(odd, 0.0).otherwise(low).alias("lower_bound"), F.when(odd, float("inf")).otherwise(high).alias("upper_bound"))
-
-
-def blocks_of(queries: DataFrame) -> int:
-    return max(1, -(-queries.count() // QUERY_BLOCK))
-
-
-def blocked(queries: DataFrame, count: int) -> DataFrame:
-    """The queries with the number of their block, out of count."""
-    return queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int").alias("block"))
+    V.metric(metric)
+
+    def work(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+        limit = np.full(len(ids), np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            counts = batch.column("count").to_numpy(zero_copy_only=False).astype(np.int64)
+            radius = batch.column("radius").to_numpy(zero_copy_only=False).astype(np.float64)
+            centroids = stack(batch.column("centroid"))
+            step = max(1, PAIR_ROWS // batch.num_rows)
+            for i in range(0, len(ids), step):
+                low, high = ball_bounds(centroids, radius, q[i : i + step], metric)
+                near = np.ones(low.shape, dtype=bool)
+                if k is not None:
+                    limit[i : i + step] = np.minimum(limit[i : i + step], _filled(high, counts, k))
+                    near = low <= (limit[i : i + step] * (1 + RELATIVE) + ABSOLUTE)[:, None]
+                row, at = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + step][row]), batch.column("chunk_id").take(pa.array(at)), pa.array(counts[at]), pa.array(low[near]), pa.array(high[near])], names=["query_id", "chunk_id", "count", "lower_bound", "upper_bound"])
+
+    summary = manifest.select("chunk_id", F.col("count").cast("bigint").alias("count"), "centroid", F.coalesce(F.col("radius").cast("double"), F.lit(float("nan"))).alias("radius"))
+    return over_blocks(summary, queries, work, "query_id bigint, chunk_id string, count bigint, lower_bound double, upper_bound double")
 
 
 def lower_bounds(manifest: DataFrame, queries: DataFrame, metric: str = "euclidean") -> DataFrame:
@@ -67,9 +163,9 @@ def within(bound: Column, limit: Column) -> Column:
 
 
 def candidates(pairs: DataFrame, k: int) -> DataFrame:
-    """The pairs (query_id, chunk_id, lower_bound, tau) whose chunk may hold one of the query's k nearest."""
+    """The pairs (query_id, chunk_id, count, lower_bound, tau) whose chunk may hold one of the query's k nearest."""
     joined = pairs.join(tau(pairs, k), "query_id")
-    return joined.where(within(F.col("lower_bound"), F.col("tau"))).select("query_id", "chunk_id", "lower_bound", "tau")
+    return joined.where(within(F.col("lower_bound"), F.col("tau"))).select("query_id", "chunk_id", "count", "lower_bound", "tau")
 
 
 def active_chunks(found: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ Touching counts as meeting. Areas may have holes and several parts; transforms m
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+import struct
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,9 +35,15 @@ def parse_transform(value: str | Sequence[float]) -> GeoTransform:
 
 @dataclass(frozen=True)
 class Area:
-    """Parts, each an outer ring and its holes. Rings are points without the closing one."""
+    """Polygons, lines and points, any of which a chunk may touch.
 
-    parts: tuple[tuple[tuple[Point, ...], tuple[tuple[Point, ...], ...]], ...]
+    parts: polygons, each an outer ring and its holes; rings are points without the closing one. paths: lines as
+    points in order.
+    """
+
+    parts: tuple[tuple[tuple[Point, ...], tuple[tuple[Point, ...], ...]], ...] = ()
+    paths: tuple[tuple[Point, ...], ...] = ()
+    points: tuple[Point, ...] = ()
 
     @staticmethod
     def box(x0: float, y0: float, x1: float, y1: float) -> Area:
@@ -45,27 +53,69 @@ class Area:
     def polygon(outer: Sequence[Point], holes: Sequence[Sequence[Point]] = ()) -> Area:
         return Area(((_ring(outer), tuple(_ring(h) for h in holes)),))
 
+    @staticmethod
+    def union(areas: Sequence[Area]) -> Area:
+        return Area(*(tuple(x for a in areas for x in getattr(a, name)) for name in ("parts", "paths", "points")))
+
+    @staticmethod
+    def of(kind: str, nested: Any) -> Area:
+        """An area from the name of a geometry type, in any case, and its nested coordinates; those beyond x and y are ignored."""
+        kind = kind.upper()
+        if kind.startswith("MULTI"):
+            return Area.union([Area.of(kind[5:], x) for x in nested])
+        flat = lambda points: tuple((float(p[0]), float(p[1])) for p in points)
+        if kind == "POINT":
+            return Area(points=flat([nested])) if len(nested) else Area()
+        if kind == "LINESTRING":
+            return Area(paths=(flat(nested),)) if len(nested) else Area()
+        if kind == "LINEARRING":
+            return Area(paths=((*flat(nested), flat(nested)[0]),)) if len(nested) else Area()
+        if kind == "POLYGON":
+            return Area(((_ring(nested[0]), tuple(_ring(h) for h in nested[1:])),)) if len(nested) and len(nested[0]) else Area()
+        raise ValueError(f"unknown geometry type {kind!r}")
+
     @staticmethod
     def wkt(text: str) -> Area:
-        """An area from POLYGON or MULTIPOLYGON text."""
-        m = re.fullmatch(r"\s*(MULTIPOLYGON|POLYGON)\s*(?:EMPTY|(\(.*\)))\s*", text, re.I | re.S)
-        if not m:
-            raise ValueError("WKT must be a POLYGON or a MULTIPOLYGON")
-        if m[2] is None:
-            return Area(())
-        rings = lambda body: [_ring([tuple(map(float, p.split()[:2])) for p in r.split(",")]) for r in re.findall(r"\(([^()]*)\)", body)]
-        bodies = [m[2]] if m[1].upper() == "POLYGON" else re.findall(r"\((\s*\([^()]*\)(?:\s*,\s*\([^()]*\))*\s*)\)", m[2])
-        return Area(tuple((r[0], tuple(r[1:])) for r in map(rings, bodies)))
+        """An area from well-known text of any type; a leading SRID is ignored."""
+        tokens = re.findall(r"[A-Za-z]+|[(),]|[^\s(),A-Za-z](?:[^\s(),]*)", re.sub(r"^\s*SRID=\d+;", "", text))
+        area, rest = _read_wkt(tokens)
+        if rest:
+            raise ValueError(f"WKT goes on with {rest[0]!r}")
+        return area
+
+    @staticmethod
+    def wkb(data: bytes) -> Area:
+        """An area from well-known binary of any type, of either byte order, plain or extended."""
+        area, end = _read_wkb(bytes(data), 0)
+        if end != len(data):
+            raise ValueError("WKB goes on behind the geometry")
+        return area
+
+    @staticmethod
+    def mapping(value: Any) -> Area:
+        """An area from a GeoJSON-like mapping, or an object that offers one as __geo_interface__."""
+        found = getattr(value, "__geo_interface__", value)
+        if not isinstance(found, Mapping) or "type" not in found:
+            raise TypeError(f"an area of interest must be a geometry, not {type(value).__name__}")
+        if found["type"] == "Feature":
+            return Area.mapping(found["geometry"])
+        if found["type"] in ("FeatureCollection", "GeometryCollection"):
+            return Area.union([Area.mapping(x) for x in found.get("features", found.get("geometries", ()))])
+        return Area.of(found["type"], found["coordinates"])
+
+    @property
+    def empty(self) -> bool:
+        return not (self.points or any(self.paths) or any(outer for outer, _ in self.parts))
 
     @property
     def bounds(self) -> tuple[float, float, float, float]:
-        xs = [x for outer, _ in self.parts for x, _ in outer]
-        ys = [y for outer, _ in self.parts for _, y in outer]
-        return min(xs), min(ys), max(xs), max(ys)
+        every = [*self.points, *(p for path in self.paths for p in path), *(p for outer, _ in self.parts for p in outer)]
+        return min(x for x, _ in every), min(y for _, y in every), max(x for x, _ in every), max(y for _, y in every)
 
     def meets(self, corners: Sequence[Point]) -> bool:
         """Whether the (possibly flat) parallelogram of four corners in order touches the area."""
         own = list(zip(corners, [*corners[1:], corners[0]]))
+        held = lambda p: _inside(p, tuple(corners)) or any(_cross(a, b, p, p) for a, b in own)
         for outer, holes in self.parts:
             rings = (outer, *holes)
             if any(_cross(a, b, c, d) for r in rings for a, b in zip(r, (*r[1:], r[0])) for c, d in own):
@@ -74,7 +124,101 @@ class Area:
                 return True
             if _inside(outer[0], tuple(corners)):
                 return True
-        return False
+        for path in self.paths:
+            if held(path[0]) or any(_cross(a, b, c, d) for a, b in zip(path, path[1:]) for c, d in own):
+                return True
+        return any(map(held, self.points))
+
+
+_WKT_TYPES = ("POINT", "LINESTRING", "LINEARRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON", "GEOMETRYCOLLECTION")
+
+
+def _read_wkt(tokens: list[str]) -> tuple[Area, list[str]]:
+    """The first geometry of the tokens, and the tokens behind it."""
+    if not tokens or (kind := tokens[0].upper()) not in _WKT_TYPES:
+        raise ValueError(f"no geometry type at {tokens[:1]}")
+    at = 1
+    while at < len(tokens) and tokens[at].upper() in ("Z", "M", "ZM"):
+        at += 1
+    if at < len(tokens) and tokens[at].upper() == "EMPTY":
+        return Area(), tokens[at + 1 :]
+    if at >= len(tokens) or tokens[at] != "(":
+        raise ValueError("WKT lacks an opening bracket")
+    if kind == "GEOMETRYCOLLECTION":
+        found, rest = [], tokens[at:]
+        while rest and rest[0] in "(,":
+            one, rest = _read_wkt(rest[1:])
+            found.append(one)
+        if not rest or rest[0] != ")":
+            raise ValueError("WKT lacks a closing bracket")
+        return Area.union(found), rest[1:]
+    nested, rest = _read_list(tokens[at:])
+    if kind == "POINT":
+        nested = nested[0]
+    elif kind == "MULTIPOINT":  # its points may stand in brackets of their own
+        nested = [p[0] if isinstance(p[0], list) else p for p in nested]
+    return Area.of(kind, nested), rest
+
+
+def _read_list(tokens: list[str]) -> tuple[list, list[str]]:
+    """Nested lists of points from the bracket that the tokens begin with."""
+    out: list[list] = [[]]
+    numbers: list[float] = []
+    for i, t in enumerate(tokens):
+        if t in "),":
+            if numbers:
+                out[-1].append(numbers)
+                numbers = []
+            if t == ")":
+                done = out.pop()
+                if len(out) == 1:
+                    return done, tokens[i + 1 :]
+                out[-1].append(done)
+        elif t == "(":
+            out.append([])
+        elif t.upper() == "EMPTY":
+            out[-1].append([])
+        else:
+            numbers.append(float(t))
+    raise ValueError("WKT lacks a closing bracket")
+
+
+def _read_wkb(data: bytes, at: int) -> tuple[Area, int]:
+    order = "<" if data[at] else ">"
+    code = struct.unpack_from(order + "I", data, at + 1)[0]
+    at += 5
+    size = 2 + bool(code & 0x80000000) + bool(code & 0x40000000)
+    if code & 0x20000000:
+        at += 4  # a reference system
+    kind = code & 0x0FFFFFFF
+    size = {0: size, 1: 3, 2: 3, 3: 4}[kind // 1000]
+    kind %= 1000
+
+    def count() -> int:
+        nonlocal at
+        at += 4
+        return struct.unpack_from(order + "I", data, at - 4)[0]
+
+    def points(n: int) -> list[tuple[float, ...]]:
+        nonlocal at
+        flat = struct.unpack_from(f"{order}{n * size}d", data, at)
+        at += 8 * n * size
+        return [flat[i : i + size] for i in range(0, len(flat), size)]
+
+    if kind == 1:
+        p = points(1)[0]
+        return Area() if p[0] != p[0] else Area.of("POINT", p), at
+    if kind == 2:
+        return Area.of("LINESTRING", points(count())), at
+    if kind == 3:
+        return Area.of("POLYGON", [points(count()) for _ in range(count())]), at
+    if kind in (4, 5, 6, 7):
+        found = []
+        for _ in range(count()):
+            one, at = _read_wkb(data, at)
+            found.append(one)
+        return Area.union(found), at
+    raise ValueError(f"unknown geometry code {kind}")
 
 
 def _ring(points: Sequence[Point]) -> tuple[Point, ...]:
@@ -107,10 +251,11 @@ def _inside(p: Point, ring: tuple[Point, ...]) -> bool:
     return odd
 
 
-def validated(area: Area) -> Area:
+def validated(area: Any) -> Area:
+    """An Area, or any object with a __geo_interface__, as a non-empty Area."""
     if not isinstance(area, Area):
-        raise TypeError(f"an area of interest must be an Area, not {type(area).__name__}")
-    if not area.parts or any(not outer for outer, _ in area.parts):
+        area = Area.mapping(area)
+    if area.empty:
         raise ValueError("the area of interest is empty")
     return area
 
@@ -130,7 +275,7 @@ def to_world(x: Column, y: Column) -> tuple[Column, Column]:
 def with_corners(manifest: DataFrame, transforms: DataFrame) -> DataFrame:
     """manifest with corners, an array of four (x, y) in world coordinates. transforms: url and the six numbers."""
     x, y = interval(F.col("slice"), "x"), interval(F.col("slice"), "y")
-    joined = manifest.withColumn("_x", x).withColumn("_y", y).join(F.broadcast(transforms) if transforms.count() <= 1_000_000 else transforms, "url")
+    joined = manifest.withColumn("_x", x).withColumn("_y", y).join(transforms, "url")
     at = [("start", "start"), ("stop", "start"), ("stop", "stop"), ("start", "stop")]
     corners = [F.struct(*(c.cast("double").alias(n) for c, n in zip(to_world(F.col(f"_x.{a}"), F.col(f"_y.{b}")), "xy"))) for a, b in at]
     return joined.withColumn("corners", F.array(*corners)).drop("_x", "_y", *TRANSFORM_FIELDS)

@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery import schema
 from orrery.functions import vectors as V
+from orrery.operators.bounds import stack
 
 #: Chunks whose partial sums a task holds before it hands them on.
 HELD_CHUNKS = 4_096
@@ -23,13 +23,6 @@ def finite(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.where(F.col(column).isNotNull() & ~F.exists(F.col(column), bad))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    sizes = pyarrow.compute.list_value_length(column).to_numpy(zero_copy_only=False)
-    if len(sizes) and (sizes != sizes[0]).any():
-        raise ValueError("vectors differ in dimension")
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
-
-
 def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, tuple[int, np.ndarray]] = {}
 
@@ -42,7 +35,7 @@ def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not batch.num_rows:
             continue
         names, codes = np.unique(np.array(batch.column("chunk_id").to_pylist(), dtype=object), return_inverse=True)
-        m = _matrix(batch.column("embedding"))
+        m = stack(batch.column("embedding")).astype(np.float64)
         sums = np.zeros((len(names), m.shape[1]))
         np.add.at(sums, codes, m)
         counts = np.bincount(codes, minlength=len(names))
@@ -78,8 +71,13 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A written manifest, extra columns included, with chunk_id."""
-    return spark.read.parquet(path).withColumn("chunk_id", V.chunk_id())
+    """A written manifest, extra columns included, with chunk_id. The fixed columns must have the types of the schema."""
+    found = spark.read.parquet(path)
+    types = dict(found.dtypes)
+    for f in schema.MANIFEST.fields:
+        if types.get(f.name) != f.dataType.simpleString():
+            raise ValueError(f"the manifest's column {f.name!r} must be {f.dataType.simpleString()}, not {types.get(f.name)}")
+    return found.withColumn("chunk_id", V.chunk_id())
 
 
 def chunk_grid(spark: SparkSession, shape: list[int], chunks: list[int], dims: list[str], url: str) -> DataFrame:

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vectors as V
 from orrery.operators import bounds
+from orrery.operators.bounds import pairwise, stack
 
-KERNELS = ("arrow", "native")
-#: Names of search backends; all that are exact and run on a CPU are served by a kernel here.
-BACKENDS = {"numpy": "arrow", "faiss_cpu": "arrow", "arrow": "arrow", "native": "native"}
-#: Numbers in one block of pairwise differences.
-BLOCK = 1 << 21
+#: Vectors of a chunk, and queries, in one cell of work.
+CELL_VECTORS, CELL_QUERIES = 16_384, bounds.QUERY_BLOCK
+#: A kernel takes vectors (n, d), queries (nq, d), k and the metric, and returns distances and row numbers (nq, min(k, n)), ties by row number.
+Kernel = Callable[[np.ndarray, np.ndarray, int, str], tuple[np.ndarray, np.ndarray]]
 
 
 def kernel_of(backend: str) -> str:
+    """The kernel that serves a search backend."""
     if backend == "faiss_gpu":
         raise NotImplementedError("there is no GPU backend; the exact CPU kernels return the same rows")
     if backend not in BACKENDS:
@@ -26,23 +28,9 @@ def kernel_of(backend: str) -> str:
     return BACKENDS[backend]
 
 
-def pairwise(vectors: np.ndarray, queries: np.ndarray, metric: str = "euclidean") -> np.ndarray:
-    """Distances (queries, vectors) in double, by direct differences in blocks, so that nothing cancels."""
-    if queries.ndim != 2:
-        raise ValueError(f"queries must have the shape (nq, d), not {queries.shape}")
-    if vectors.size and vectors.shape[1] != queries.shape[1]:
-        raise ValueError(f"vectors have dimension {vectors.shape[1]}, queries {queries.shape[1]}")
-    v, q = vectors.astype(np.float64), queries.astype(np.float64)
-    if metric == "cosine":
-        unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), V.FLOAT_EPS)
-        return 1 - unit(q) @ unit(v).T
-    V.metric(metric)
-    out = np.empty((len(q), len(v)))
-    rows = max(1, BLOCK // max(1, v.size))
-    for i in range(0, len(q), rows):
-        d = q[i : i + rows, None, :] - v[None, :, :]
-        out[i : i + rows] = np.einsum("qvd,qvd->qv", d, d)
-    return out
+def register_kernel(name: str, kernel: Kernel) -> None:
+    """Make a kernel of the caller's known as a backend. It must be exact, as pruning and merging rely on it."""
+    KERNELS[name], BACKENDS[name] = kernel, name
 
 
 def local_knn(vectors: np.ndarray, queries: np.ndarray, k: int, metric: str = "euclidean") -> tuple[np.ndarray, np.ndarray]:
@@ -57,42 +45,66 @@ def local_knn(vectors: np.ndarray, queries: np.ndarray, k: int, metric: str = "e
     return np.take_along_axis(d, at, axis=1), at
 
 
-def _stack(column: pa.ChunkedArray) -> np.ndarray:
-    sizes = pyarrow.compute.list_value_length(column).to_numpy()
-    if len(sizes) and (sizes != sizes[0]).any():
-        raise ValueError("vectors differ in dimension")
-    flat = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in column.chunks])
-    return flat.reshape(len(sizes), -1)
+def matrix_knn(vectors: np.ndarray, queries: np.ndarray, k: int, metric: str = "euclidean") -> tuple[np.ndarray, np.ndarray]:
+    """As local_knn, through one matrix product: it chooses what can be among the k nearest, rounding considered, and only that is measured by differences."""
+    size = min(k, len(vectors))
+    if metric != "euclidean" or queries.ndim != 2 or size <= 0 or size == len(vectors):
+        return local_knn(vectors, queries, k, metric)
+    if vectors.shape[1] != queries.shape[1]:
+        raise ValueError(f"vectors have dimension {vectors.shape[1]}, queries {queries.shape[1]}")
+    v, q = vectors.astype(np.float64), queries.astype(np.float64)
+    vv, qq = np.einsum("vd,vd->v", v, v), np.einsum("qd,qd->q", q, q)
+    d, at = np.empty((len(q), size)), np.empty((len(q), size), dtype=np.int64)
+    rows = max(1, bounds.BLOCK // len(v))
+    for i in range(0, len(q), rows):
+        near = qq[i : i + rows, None] + vv[None, :] - 2 * (q[i : i + rows] @ v.T)
+        slack = 8 * v.shape[1] * np.finfo(np.float64).eps * (qq[i : i + rows] + vv.max())
+        limit = np.partition(near, size - 1, axis=1)[:, size - 1] + 2 * slack
+        for j, chosen in enumerate(near <= limit[:, None]):
+            found = np.flatnonzero(chosen)
+            exact = pairwise(v[found], q[i + j : i + j + 1])[0]
+            best = np.argsort(exact, kind="stable")[:size]
+            d[i + j], at[i + j] = exact[best], found[best]
+    return d, at
+
+
+KERNELS: dict[str, Kernel | None] = {"arrow": local_knn, "matrix": matrix_knn, "native": None}
+#: Names of search backends and the kernels that serve them; all are exact and run on a CPU.
+BACKENDS = {"numpy": "arrow", "faiss_cpu": "matrix", "arrow": "arrow", "matrix": "matrix", "native": "native"}
 
 
 def partial_top_k(vectors: DataFrame, queries: DataFrame, found: DataFrame, k: int, metric: str = "euclidean", kernel: str = "arrow") -> DataFrame:
     """query_id, chunk_id, offset, distance: of each candidate pair (query_id, chunk_id) the chunk's k nearest.
 
-    A cell of work is a chunk and a block of the queries that need it; its size is bounded by both.
+    found may have the count of vectors in the chunk. A cell of work is a part of a chunk, of CELL_VECTORS or so, and a
+    block of the queries that need it, so neither a large chunk nor many queries meet in one task.
     """
     measure, _ = V.metric(metric)
-    blocks = bounds.blocks_of(queries)
-    need = found.select("query_id", "chunk_id").join(queries, "query_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    cells = need.select(F.col("chunk_id").alias("chunk_id"), F.col("block").alias("block")).distinct()
-    data = vectors.select("chunk_id", "offset", "embedding").join(cells, "chunk_id")
+    if kernel not in KERNELS:
+        raise ValueError(f"unknown kernel {kernel!r}; there are {sorted(KERNELS)}")
+    blocks = max(1, -(-queries.count() // CELL_QUERIES))
+    parts = F.ceil(F.coalesce(F.col("count"), F.lit(1)) / CELL_VECTORS).cast("int") if "count" in found.columns else F.lit(1)
+    need = found.select("query_id", "chunk_id", F.greatest(parts, F.lit(1)).alias("parts")).join(queries, "query_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    cells = need.groupBy(F.col("chunk_id").alias("chunk_id"), F.col("block").alias("block")).agg(F.max("parts").alias("parts"))
+    data = vectors.select("chunk_id", "offset", "embedding").join(cells, "chunk_id").withColumn("part", F.pmod(F.xxhash64("offset"), F.col("parts")).cast("int"))
+    need = need.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     order = Window.partitionBy("query_id", "chunk_id").orderBy("distance", "offset")
     if kernel == "native":
-        both = data.join(need, ["chunk_id", "block"]).select("query_id", "chunk_id", "offset", V.same_size("embedding", "q").alias("checked"), measure("embedding", "q").alias("distance"))
+        both = data.drop("parts").join(need, ["chunk_id", "block", "part"]).select("query_id", "chunk_id", "offset", V.same_size("embedding", "q").alias("checked"), measure("embedding", "q").alias("distance"))
         return both.where(F.col("checked").isNull()).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r", "checked")
-    if kernel != "arrow":
-        raise ValueError(f"unknown kernel {kernel!r}; there are {KERNELS}")
+    nearest = KERNELS[kernel]
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.string()), "offset": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
-            return empty
+            return pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.string()), "offset": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
         offsets = left.column("offset").to_numpy()
         by = np.argsort(offsets, kind="stable")
-        d, at = local_knn(_stack(left.column("embedding"))[by], _stack(right.column("q")), k, metric)
+        d, at = nearest(stack(left.column("embedding"))[by], stack(right.column("q")), k, metric)
         ids, size = right.column("query_id").to_numpy(), d.shape[1]
         return pa.table({"query_id": pa.array(np.repeat(ids, size), pa.int64()), "chunk_id": pa.array([left.column("chunk_id")[0].as_py()] * d.size, pa.string()), "offset": pa.array(offsets[by][at].ravel(), pa.int64()), "distance": pa.array(d.ravel(), pa.float64())})
 
-    return data.groupBy("chunk_id", "block").cogroup(need.groupBy("chunk_id", "block")).applyInArrow(cell, "query_id bigint, chunk_id string, offset bigint, distance double")
+    keys = ["chunk_id", "block", "part"]
+    return data.groupBy(*keys).cogroup(need.groupBy(*keys)).applyInArrow(cell, "query_id bigint, chunk_id string, offset bigint, distance double")
 
 
 def merge_top_k(lists: DataFrame, k: int) -> DataFrame:
@@ -108,13 +120,22 @@ def current_tau(results: DataFrame, k: int) -> DataFrame:
 
 
 def radius_search(vectors: DataFrame, queries: DataFrame, radius: float, metric: str = "euclidean") -> DataFrame:
-    """query_id, chunk_id, offset, distance of all vectors at a distance of at most radius.
+    """query_id, chunk_id, offset, distance of all vectors at a distance of at most radius. Vectors stay where they lie.
 
     The Euclidean radius is held against squared distances. vectors: chunk_id, offset, embedding.
     """
-    measure, _ = V.metric(metric)
-    count = bounds.blocks_of(queries)
-    left = vectors.select("chunk_id", "offset", "embedding", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"))
-    both = left.join(bounds.blocked(queries, count), "block")
-    found = both.select("query_id", "chunk_id", "offset", V.same_size("embedding", "q").alias("checked"), measure("embedding", "q").alias("distance"))
-    return found.where(F.col("checked").isNull() & (F.col("distance") <= radius)).drop("checked")
+    V.metric(metric)
+
+    def work(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            step = max(1, bounds.PAIR_ROWS // batch.num_rows)
+            v = stack(batch.column("embedding"))
+            for i in range(0, len(ids), step):
+                d = pairwise(v, q[i : i + step], metric)
+                row, at = np.nonzero(d <= radius)
+                places = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + step][row]), batch.column("chunk_id").take(places), batch.column("offset").take(places), pa.array(d[row, at])], names=["query_id", "chunk_id", "offset", "distance"])
+
+    return bounds.over_blocks(vectors.select("chunk_id", F.col("offset").cast("bigint").alias("offset"), "embedding"), queries, work, "query_id bigint, chunk_id string, offset bigint, distance double")

@@ -7,9 +7,11 @@ are the rows whose vec_id is divisible by 50. Distances are rounded to six place
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +20,10 @@ from orrery.functions import vectors as V
 from orrery.operators import bounds, geo, topk
 from orrery.operators import manifest as M
 from orrery.plans import search
+from orrery.shared import shared_dir
 from orrery.sources import zarr
 
-CHUNK, STRIDE, K, WIDTH, CELL = 50, 50, 10, 25, 10
+CHUNK, STRIDE, K, WIDTH, CELL, CELLS = 50, 50, 10, 25, 10, 12
 RADIUS_L2, RADIUS_COSINE = 1.6, 0.8
 
 
@@ -77,16 +80,15 @@ def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pruned(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     vectors, queries = chunked(spark, sf_dir), asked(spark, sf_dir)
-    found = bounds.candidates(bounds.lower_bound_pairs(M.summarize(vectors), queries), k)
+    found = bounds.candidates(bounds.lower_bound_pairs(M.summarize(vectors), queries, k=k), k)
     return _ranked(topk.merge_top_k(topk.partial_top_k(vectors, queries, found, k), k))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every query with every row, in blocks."""
-    queries = asked(spark, sf_dir)
-    count = bounds.blocks_of(queries)
-    rows = embeddings(spark, sf_dir).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    return rows.join(bounds.blocked(queries, count), "block")
+    """Every query with every row; the rows stay, and each block of queries, whose size is bounded, is sent to them."""
+    rows = embeddings(spark, sf_dir)
+    parts = [rows.join(F.broadcast(block)) for block in bounds.block_frames(asked(spark, sf_dir))]
+    return reduce(DataFrame.union, parts) if parts else rows.join(asked(spark, sf_dir).limit(0))
 
 
 def l2_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +154,48 @@ def active_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounds.active_chunks(bounds.candidates(_bounds(spark, sf_dir), K))
 
 
+def celled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two components of each vector, in chunks that are cells of their plane; the offset is the row's id. Here bounds rule out most chunks."""
+    flat = embeddings(spark, sf_dir).select("vec_id", F.slice("embedding", 1, 2).alias("embedding"))
+    axis = lambda i: F.floor(F.col("embedding")[i].cast("double") * CELLS).cast("bigint")
+    part = lambda name, i: F.struct(F.lit(name).alias("dim"), axis(i).alias("start"), (axis(i) + 1).alias("stop"))
+    table = flat.select(F.lit("cells").alias("url"), F.array(part("y", 0), part("x", 1)).alias("slice"), F.col("vec_id").alias("offset"), "embedding")
+    return table.withColumn("chunk_id", V.chunk_id())
+
+
+def asked_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asked(spark, sf_dir).select("query_id", F.slice("q", 1, 2).alias("q"))
+
+
+def _cell_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounds.lower_bound_pairs(M.summarize(celled(spark, sf_dir)), asked_flat(spark, sf_dir), k=K)
+
+
+def cells_knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search that reads only the cells that bounds leave."""
+    vectors, queries = celled(spark, sf_dir), asked_flat(spark, sf_dir)
+    found = topk.partial_top_k(vectors, queries, bounds.candidates(_cell_bounds(spark, sf_dir), K), K, kernel="matrix")
+    nearest = topk.merge_top_k(found.withColumn("chunk_id", F.lit("")), K)  # ties by row, as in the SQL
+    return nearest.select("query_id", "rank", F.col("offset").alias("vec_id"), six("distance").alias("distance"))
+
+
+def cells_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bounds.candidates(_cell_bounds(spark, sf_dir), K).select("query_id", "chunk_id")
+
+
+def cells_active_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells needed by the queries of one corner of the plane."""
+    pairs = bounds.lower_bound_pairs(M.summarize(celled(spark, sf_dir)), asked_flat(spark, sf_dir).where("q[0] > 0 and q[1] > 0"), k=K)
+    return bounds.active_chunks(bounds.candidates(pairs, K))
+
+
+def cells_search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, queries = celled(spark, sf_dir), asked_flat(spark, sf_dir)
+    manifest = M.summarize(vectors)
+    pairs = bounds.lower_bound_pairs(manifest, queries)
+    return bounds.search_stats(pairs, bounds.candidates(pairs, K), search.knn_search(vectors, manifest, queries, K))
+
+
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search among the chunks that end within the first half of a hundred rows."""
     vectors, queries = chunked(spark, sf_dir), asked(spark, sf_dir)
@@ -199,13 +243,25 @@ def search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounds.search_stats(pairs, bounds.candidates(pairs, K), search.knn_search(vectors, manifest, queries, K))
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _forget_stores() -> None:
+    """Stores go when the process ends; results that read them are lazy, so not before."""
+    for spark, url in _written:
+        with contextlib.suppress(Exception):  # the session may have ended
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(url)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _store(spark: SparkSession, sf_dir: str) -> str:
     """The table as a Zarr store (y, x, embedding) in the folder that executors share. Whole cells are laid out; places without a vector hold NaN, which no search counts."""
     table = embeddings(spark, sf_dir)
     last, size = table.agg(F.max("vec_id"), F.max(F.size("embedding"))).first()
     height = 0 if last is None else (last // (WIDTH * CELL) + 1) * CELL
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    url = f"{shared.rstrip('/')}/orrery-zarr-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="orrery-zarr-")
+    url = f"{shared_dir(spark)}/orrery-zarr-{uuid.uuid4().hex}"
+    _written.append((spark, url))
     cells = table.where(F.col("vec_id").isNotNull()).select(F.floor(F.col("vec_id") / WIDTH).alias("y"), (F.col("vec_id") % WIDTH).alias("x"), "embedding")
     zarr.write_vectors(cells, url, "embeddings", [height, WIDTH], [CELL, CELL], ["y", "x"], size or 1, spatial="0 1 0 0 0 1", fill=float("nan"))
     return url
@@ -213,14 +269,14 @@ def _store(spark: SparkSession, sf_dir: str) -> str:
 
 def zarr_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = _store(spark, sf_dir)
-    search.build_manifest(spark, url, url + "/manifest.parquet", n_blocks=8)
+    search.build_manifest(spark, url, url + "/manifest.parquet", n_blocks=8, skip_empty=True)
     found = M.read_manifest(spark, url + "/manifest.parquet")
     return found.select(F.regexp_extract("chunk_id", "#(.*)$", 1).alias("chunk"), "count", F.round(F.col("radius").cast("double"), 4).alias("radius"))
 
 
 def zarr_roundtrip_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = _store(spark, sf_dir)
-    search.build_manifest(spark, url, url + "/manifest.parquet", n_blocks=8)
+    search.build_manifest(spark, url, url + "/manifest.parquet", n_blocks=8, skip_empty=True)
     queries = asked(spark, sf_dir)
     found = search.knn_zarr_search(spark, url + "/manifest.parquet", queries, K)
     order = F.row_number().over(topk.Window.partitionBy("query_id").orderBy("distance", "chunk_id", "offset"))
@@ -231,7 +287,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         knn_l2, l2_distance, cosine_distance, normalize, radius_l2, radius_cosine, chunk_grid, manifest_count_radius, manifest_centroid, lower_bounds,
         min_lower_bound, tau_bound, candidate_pairs, active_chunks, knn_filtered, manifest_aoi_bbox, manifest_aoi_polygon, knn_aoi, chunk_id_format,
-        result_rows, search_stats, zarr_manifest, zarr_roundtrip_knn,
+        result_rows, search_stats, zarr_manifest, zarr_roundtrip_knn, cells_knn_pruned, cells_candidate_pairs, cells_active_chunks, cells_search_stats,
     ]
     return {f.__name__: f for f in named} | {
         "knn_l2_k1": lambda s, d: _pruned(s, d, 1),
@@ -268,6 +324,14 @@ tau AS (SELECT query_id, coalesce(min(CASE WHEN held >= 10 THEN ub END), CAST('i
 cand AS (SELECT query_id, chunk_id FROM pr JOIN tau USING (query_id) WHERE lb <= tau * (1 + 1e-6) + 1e-12)"""
 
 
+_CELL_ID = "'cells#y=' || CAST(floor(CAST(embedding[1] AS DOUBLE) * 12) AS BIGINT) || ':' || (CAST(floor(CAST(embedding[1] AS DOUBLE) * 12) AS BIGINT) + 1) || '/x=' || CAST(floor(CAST(embedding[2] AS DOUBLE) * 12) AS BIGINT) || ':' || (CAST(floor(CAST(embedding[2] AS DOUBLE) * 12) AS BIGINT) + 1)"
+
+
+def _flat(sql: str) -> str:
+    """SQL over the whole vectors turned into SQL over their first two components."""
+    return "WITH flat AS (SELECT vec_id, embedding[1:2] AS embedding FROM embeddings), " + sql.replace("FROM embeddings", "FROM flat").removeprefix("WITH ")
+
+
 def _knn(k: int, distance: str = _DIST, where: str = "TRUE", places: int = 6, order: str = "e.vec_id") -> str:
     return f"""WITH {_Q}, d AS (SELECT query_id, e.vec_id, {distance} AS d FROM embeddings e, q WHERE {where}),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, {order.replace('e.', '')}) AS INTEGER) AS rank, vec_id, round(d, {places}) + 0.0 AS distance FROM d)
@@ -279,7 +343,15 @@ def oracle_sql() -> dict[str, str]:
     in_box = "vec_id % 25 // 10 * 10 <= 18.5 AND least(vec_id % 25 // 10 * 10 + 10, 25) >= 10 AND vec_id // 25 // 10 * 10 <= 12 AND vec_id // 25 // 10 * 10 + 10 >= 3.5"
     knn = _knn(K)
     grid = f"SELECT {_GRID_ID} AS chunk_id, (vec_id // 25 % 10) * (least(vec_id % 25 // 10 * 10 + 10, 25) - vec_id % 25 // 10 * 10) + vec_id % 25 % 10 AS \"offset\", embedding FROM embeddings WHERE {in_box}"
+    cells = _PAIRS.replace(_CHUNK_ID, _CELL_ID)
+    corner = cells.replace("vec_id % 50 = 0", "vec_id % 50 = 0 AND embedding[1] > 0 AND embedding[2] > 0")
+    stats = "SELECT (SELECT count(DISTINCT chunk_id) FROM pr) AS rows_seen, (SELECT count(DISTINCT chunk_id) FROM cand) AS rows_searched, (SELECT count(*) FROM cand) AS query_evaluations, (SELECT sum(least(n, 10)) FROM (SELECT query_id, sum(count) AS n FROM pr GROUP BY query_id))::BIGINT AS results_added"
+    y0, x0 = "vec_id // 25 // 10 * 10", "vec_id % 25 // 10 * 10"
+    in_triangle = f"{x0} + {y0} <= 24 AND NOT ({x0} > 1 AND {y0} > 1 AND {y0} + 10 < 9 AND least({x0} + 10, 25) < 9)"
     return {
+        "cells_knn_pruned": _flat(_knn(K)), "cells_candidate_pairs": _flat(f"WITH {cells} SELECT query_id, chunk_id FROM cand"),
+        "cells_active_chunks": _flat(f"WITH {corner} SELECT DISTINCT chunk_id FROM cand"), "cells_search_stats": _flat(f"WITH {cells} {stats}"),
+        "manifest_aoi_polygon": f"SELECT {_GRID_ID} AS chunk_id, CAST(count(*) AS INTEGER) AS count FROM embeddings WHERE {in_triangle} GROUP BY 1",
         "knn_l2": knn, "knn_l2_unpruned": knn, "knn_l2_native_kernel": knn,
         "knn_l2_k1": _knn(1), "knn_l2_k_exceeds_n": _knn(1_000_000), "knn_cosine": _knn(K, _COS),
         "l2_distance": pairs(_DIST), "cosine_distance": pairs(_COS),
@@ -300,5 +372,5 @@ def oracle_sql() -> dict[str, str]:
         "zarr_roundtrip_knn": f"SELECT query_id, rank, distance FROM ({_knn(K, places=4)})",
         "chunk_id_format": f"SELECT {_GRID_ID} AS chunk_id, count(*) AS n FROM embeddings GROUP BY 1",
         "result_rows": f"WITH r AS ({_knn(3, places=4)}) SELECT query_id, {_CHUNK_ID} AS chunk_id, 'embeddings' AS url, vec_id // 50 * 50 AS \"start\", vec_id // 50 * 50 + 50 AS \"stop\", vec_id % 50 AS \"offset\", distance FROM r",
-        "search_stats": f"WITH {_PAIRS} SELECT (SELECT count(DISTINCT chunk_id) FROM pr) AS rows_seen, (SELECT count(DISTINCT chunk_id) FROM cand) AS rows_searched, (SELECT count(*) FROM cand) AS query_evaluations, (SELECT sum(least(n, 10)) FROM (SELECT query_id, sum(count) AS n FROM pr GROUP BY query_id))::BIGINT AS results_added",
+        "search_stats": f"WITH {_PAIRS} {stats}",
     }

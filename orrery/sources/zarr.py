@@ -1,7 +1,8 @@
 """Chunked N-dimensional arrays in Zarr stores, formats 2 and 3: metadata, chunk reading, and a writer.
 
 Stores are reached through pyarrow file systems, so local paths and URIs both work. Chunks may be raw or
-compressed with zlib, gzip or zstd; other codecs and sharding are refused by name.
+compressed with Blosc, LZ4, zlib, gzip or zstd, and lie in shards; other codecs and filters are refused by name.
+Checksums are taken off, not verified.
 """
 
 from __future__ import annotations
@@ -10,9 +11,9 @@ import itertools
 import json
 import posixpath
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from orrery import schema
 from orrery.functions import vectors as V
-from orrery.operators.geo import GeoTransform, parse_transform
+from orrery.operators.geo import TRANSFORM_FIELDS, GeoTransform, parse_transform
 from orrery.operators.manifest import chunk_grid
+from orrery.sources import blosc
 
 DIMENSIONS = "_ARRAY_DIMENSIONS"
 #: Rows of vectors in one Arrow batch.
@@ -71,6 +73,12 @@ class ArrayMeta:
     separator: str
     attributes: dict[str, Any] = field(default_factory=dict)
     names: list[str] | None = None
+    shard: Shard | None = None
+
+    @property
+    def grid(self) -> tuple[int, ...]:
+        """The chunks that are summarised and searched: those within shards, if there are shards."""
+        return self.chunks if self.shard is None else self.shard.inner.chunks
 
     def key(self, index: Sequence[int]) -> str:
         return self.prefix + self.separator.join(map(str, index))
@@ -78,6 +86,8 @@ class ArrayMeta:
     def decode(self, raw: bytes | None) -> np.ndarray:
         if raw is None:
             return np.full(self.chunks, self.fill, dtype=self.dtype)
+        if self.shard is not None:
+            return self.shard.assembled(raw, self.chunks)
         for name, options in reversed(self.codecs):
             if name in ("zlib", "gzip"):
                 raw = zlib.decompress(raw, 47)
@@ -87,11 +97,54 @@ class ArrayMeta:
                 raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
             elif name == "crc32c":
                 raw = raw[:-4]
+            elif name == "blosc":
+                raw = blosc.decompress(raw)
+            elif name == "lz4":  # its size stands before it
+                raw = pa.Codec("lz4_raw").decompress(raw[4:], decompressed_size=int.from_bytes(raw[:4], "little")).to_pybytes()
             else:
                 raise NotImplementedError(f"chunks coded with {name!r} cannot be read")
         return np.frombuffer(raw, dtype=self.dtype).reshape(self.chunks, order=self.order)
 
 
+@dataclass
+class Shard:
+    """Chunks stored together in one object, found by an index of places and lengths at its end or start."""
+
+    inner: ArrayMeta
+    index_codecs: list[str]
+    at_end: bool
+
+    def assembled(self, raw: bytes, shape: Sequence[int]) -> np.ndarray:
+        counts = [n // c for n, c in zip(shape, self.inner.chunks)]
+        size = 16 * int(np.prod(counts)) + 4 * ("crc32c" in self.index_codecs)
+        table = raw[-size:] if self.at_end else raw[:size]
+        places = np.frombuffer(table, dtype="<u8", count=2 * int(np.prod(counts))).reshape(*counts, 2)
+        out = np.empty(tuple(shape), dtype=self.inner.dtype)
+        for index in itertools.product(*map(range, counts)):
+            at, length = (int(x) for x in places[index])
+            block = self.inner.decode(None if at == length == 2**64 - 1 else raw[at : at + length])
+            out[tuple(slice(i * c, (i + 1) * c) for i, c in zip(index, self.inner.chunks))] = block
+        return out
+
+
+def _codecs_of(listed: list[dict], dims: int) -> tuple[str, str, list[tuple[str, dict]], dict | None]:
+    """Byte order, memory order, compressors and the sharding of the codecs of an array of format 3."""
+    endian, order, codecs, shard = "<", "C", [], None
+    for c in listed:
+        kind, options = c["name"], c.get("configuration") or {}
+        if kind == "bytes":
+            endian = ">" if options.get("endian") == "big" else "<"
+        elif kind == "transpose" and list(options["order"]) == list(range(dims))[::-1]:
+            order = "F"
+        elif kind in ("gzip", "zstd", "crc32c", "blosc"):
+            codecs.append((kind, options))
+        elif kind == "sharding_indexed" and len(listed) == 1:
+            shard = options
+        else:
+            raise NotImplementedError(f"arrays with the codec {kind!r} cannot be read")
+    return endian, order, codecs, shard
+
+
 def _fill(value: Any, dtype: np.dtype) -> Any:
     special = {"NaN": np.nan, "Infinity": np.inf, "-Infinity": -np.inf}
     return np.array(0 if value is None else special.get(value, value) if isinstance(value, str) else value).astype(dtype)
@@ -108,29 +161,27 @@ def array_meta(store: Store, name: str) -> ArrayMeta:
     if three is not None:
         if three.get("node_type") != "array":
             raise ValueError(f"{name!r} is not an array")
-        endian, codecs, order = "<", [], "C"
-        for c in three["codecs"]:
-            kind, options = c["name"], c.get("configuration") or {}
-            if kind == "bytes":
-                endian = ">" if options.get("endian") == "big" else "<"
-            elif kind == "transpose" and list(options["order"]) == list(range(len(three["shape"])))[::-1]:
-                order = "F"
-            elif kind in ("gzip", "zstd", "crc32c"):
-                codecs.append((kind, options))
-            else:
-                raise NotImplementedError(f"arrays with the codec {kind!r} cannot be read")
+        dims = len(three["shape"])
+        endian, order, codecs, sharding = _codecs_of(three["codecs"], dims)
         encoding = three.get("chunk_key_encoding") or {"name": "default"}
         old = encoding["name"] == "v2"
         separator = (encoding.get("configuration") or {}).get("separator", "." if old else "/")
+        chunks, shard = tuple(three["chunk_grid"]["configuration"]["chunk_shape"]), None
+        if sharding is not None:
+            endian, order, inner, nested = _codecs_of(sharding["codecs"], dims)
+            if nested is not None:
+                raise NotImplementedError("shards within shards cannot be read")
+            dtype = np.dtype(three["data_type"]).newbyteorder(endian)
+            shard = Shard(ArrayMeta(chunks, tuple(sharding["chunk_shape"]), dtype, _fill(three.get("fill_value"), dtype), order, inner, "", "/"), [c["name"] for c in sharding.get("index_codecs", ())], sharding.get("index_location", "end") == "end")
         dtype = np.dtype(three["data_type"]).newbyteorder(endian)
-        return ArrayMeta(tuple(three["shape"]), tuple(three["chunk_grid"]["configuration"]["chunk_shape"]), dtype, _fill(three.get("fill_value"), dtype), order, codecs, "" if old else "c" + separator, separator, three.get("attributes") or {}, three.get("dimension_names"))
+        return ArrayMeta(tuple(three["shape"]), chunks, dtype, _fill(three.get("fill_value"), dtype), order, codecs, "" if old else "c" + separator, separator, three.get("attributes") or {}, three.get("dimension_names"), shard)
     two = _json(store, posixpath.join(name, ".zarray"))
     if two is None:
         raise FileNotFoundError(f"no array {name!r} in {store.root}")
     if two.get("filters"):
         raise NotImplementedError("arrays with filters cannot be read")
     codec = two.get("compressor")
-    if codec and codec["id"] not in ("zlib", "gzip", "zstd"):
+    if codec and codec["id"] not in ("zlib", "gzip", "zstd", "blosc", "lz4"):
         raise NotImplementedError(f"arrays compressed with {codec['id']!r} cannot be read")
     dtype = np.dtype(two["dtype"])
     return ArrayMeta(tuple(two["shape"]), tuple(two["chunks"]), dtype, _fill(two.get("fill_value"), dtype), two.get("order", "C"), [(codec["id"], codec)] if codec else [], "", two.get("dimension_separator", "."), _json(store, posixpath.join(name, ".zattrs")) or {})
@@ -221,10 +272,17 @@ class Reader:
         return moved.reshape(-1, moved.shape[-1]), moved.shape[:-1]
 
 
-READERS = {"zarr": Reader}
+class VectorReader(Protocol):
+    """What a reader offers: the vectors (n, d) of a chunk as 32-bit floats, and the shape of its index axes."""
+
+    def read(self, url: str, slice_: Sequence[dict[str, Any]]) -> tuple[np.ndarray, tuple[int, ...]]: ...
+
 
+#: Readers by name; a caller may add one that makes a VectorReader.
+READERS: dict[str, Callable[..., VectorReader]] = {"zarr": Reader}
 
-def make_reader(kind: str, **options: Any) -> Reader:
+
+def make_reader(kind: str, **options: Any) -> VectorReader:
     if kind == "cog":
         raise NotImplementedError("reading cloud-optimised GeoTIFF files is not implemented")
     if kind not in READERS:
@@ -235,13 +293,14 @@ def make_reader(kind: str, **options: Any) -> Reader:
 def chunks_of(spark: SparkSession, url: str, reader: Reader) -> DataFrame:
     """url, slice of every chunk of the array's grid over its index axes."""
     meta, _, axes = reader.layout(url)
-    return chunk_grid(spark, [meta.shape[i] for i, _ in axes], [meta.chunks[i] for i, _ in axes], [n for _, n in axes], url).select("url", "slice")
+    return chunk_grid(spark, [meta.shape[i] for i, _ in axes], [meta.grid[i] for i, _ in axes], [n for _, n in axes], url).select("url", "slice")
 
 
-def vectors_of(chunks: DataFrame, reader: Reader, partitions: int | None = None) -> DataFrame:
+def vectors_of(chunks: DataFrame, reader: Reader, partitions: int | None = None, batch_rows: int | None = None) -> DataFrame:
     """The vectors (url, slice, chunk_id, offset, embedding) of chunks (url, slice); each task reads the chunks it has."""
     options = (reader.array_name, reader.embedding_dim_name, reader.store_kwargs)
     names = [f.name for f in schema.VECTORS.fields]
+    rows = batch_rows or BATCH_ROWS
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Reader(*options)
@@ -249,8 +308,8 @@ def vectors_of(chunks: DataFrame, reader: Reader, partitions: int | None = None)
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 vectors, _ = own.read(row.column("url")[0].as_py(), row.column("slice")[0].as_py())
-                for a in range(0, len(vectors), BATCH_ROWS):
-                    v = vectors[a : a + BATCH_ROWS]
+                for a in range(0, len(vectors), rows):
+                    v = vectors[a : a + rows]
                     ends = pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32())
                     same = pa.array(np.zeros(len(v), dtype=np.int64))
                     yield pa.RecordBatch.from_arrays([*(row.column(n).take(same) for n in ("url", "slice", "chunk_id")), pa.array(np.arange(a, a + len(v)), pa.int64()), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], names=names)
@@ -265,6 +324,17 @@ def transforms_of(spark: SparkSession, urls: Sequence[str], store_kwargs: dict[s
     return spark.createDataFrame(rows, "url string, ox double, pw double, rr double, oy double, cr double, ph double")
 
 
+def transforms_in(urls: DataFrame, store_kwargs: dict[str, Any] | None = None) -> DataFrame:
+    """url and the six numbers of the transform of each store in a DataFrame of urls, read by the tasks that have them."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([geo_transform(Store(u, store_kwargs)) for u in batch.column("url").to_pylist()], dtype=np.float64).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([batch.column("url"), *map(pa.array, found.T.copy())], names=["url", *TRANSFORM_FIELDS])
+
+    return urls.mapInArrow(read, "url string, ox double, pw double, rr double, oy double, cr double, ph double")
+
+
 def _write_meta(store: Store, name: str, shape: Sequence[int], chunks: Sequence[int], dims: Sequence[str], dtype: np.dtype, version: int, codec: str | None, spatial: str | Sequence[float] | None, fill: float = 0) -> None:
     if version == 2:
         store.put(".zgroup", json.dumps({"zarr_format": 2}).encode())

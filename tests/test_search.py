@@ -133,4 +133,70 @@ def test_chunk_grid_clips(spark):
 
 def test_registry_agrees_with_its_sql():
     assert set(registry.oracle_sql()) <= set(registry.queries())
-    assert {"manifest_aoi_polygon"} == set(registry.queries()) - set(registry.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
+
+
+def test_blocks_spread_and_agree(spark, monkeypatch):
+    """Small blocks of queries give the rows that one block gives, nothing gathers on one key, and no side is broadcast by its size."""
+    rng = np.random.default_rng(5)
+    data, asked = rng.standard_normal((60, 3)).astype(np.float32), rng.standard_normal((40, 3)).astype(np.float32)
+    vectors, queries = frame(spark, data, 10).repartition(4, "chunk_id"), search.query_frame(spark, asked)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = {tuple(r) for r in topk.radius_search(vectors, queries, 1.0).collect()}
+        monkeypatch.setattr(bounds, "BLOCK_BYTES", 400)
+        assert len(bounds.block_frames(queries)) > 1
+        found = topk.radius_search(vectors, queries, 1.0)
+        assert {tuple(r) for r in found.collect()} == whole
+        plan = found._jdf.queryExecution().toString()
+        assert "Join" not in plan and "CartesianProduct" not in plan
+        sizes = found.rdd.glom().map(len).collect()
+        assert sum(s > 0 for s in sizes) > 4
+        np.testing.assert_allclose(distances(search.knn_search(vectors, M.summarize(vectors), queries, 4), 40), brute(data, asked, 4), rtol=1e-4, atol=1e-5)
+        assert bounds.lower_bound_pairs(M.summarize(vectors), queries).count() == 240
+        assert bounds.lower_bound_pairs(M.summarize(vectors), queries.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_large_chunks_are_split(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL_VECTORS", 7)
+    data = np.random.default_rng(6).standard_normal((50, 3)).astype(np.float32)
+    vectors, queries = frame(spark, data, 50), search.query_frame(spark, data[:3])
+    for backend in ("numpy", "native", "faiss_cpu"):
+        np.testing.assert_allclose(distances(search.knn_search(vectors, M.summarize(vectors), queries, 5, backend=backend), 3), brute(data, data[:3], 5), rtol=1e-4, atol=1e-5)
+
+
+def test_reduced_pairs_keep_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    data = (rng.uniform(-20, 20, (30, 1, 2)) + rng.standard_normal((30, 5, 2))).reshape(-1, 2).astype(np.float32)
+    vectors, queries = frame(spark, data, 5), search.query_frame(spark, data[::30])
+    manifest = M.summarize(vectors).cache()
+    every, few = bounds.lower_bound_pairs(manifest, queries), bounds.lower_bound_pairs(manifest, queries, k=3)
+    assert few.count() < every.count()
+    assert {tuple(r) for r in bounds.tau(few, 3).collect()} == {tuple(r) for r in bounds.tau(every, 3).collect()}
+    assert {tuple(r) for r in bounds.candidates(few, 3).collect()} == {tuple(r) for r in bounds.candidates(every, 3).collect()}
+
+
+def test_filter_and_area_together(spark):
+    from orrery.operators.geo import Area
+
+    rows = [("u", [("y", 0, 2), ("x", x, x + 2)], n) for x, n in ((0, 1), (2, 5), (4, 9))]
+    manifest = spark.createDataFrame(rows, "url string, slice array<struct<dim:string,start:bigint,stop:bigint>>, count int").withColumn("chunk_id", V.chunk_id())
+    placed = spark.createDataFrame([("u", 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)], "url string, ox double, pw double, rr double, oy double, cr double, ph double")
+    kept = search.filter_manifest(manifest, "count < 9", Area.box(3.0, 0.0, 6.0, 1.0), placed)
+    assert [r["count"] for r in kept.collect()] == [5]
+
+
+def test_matrix_kernel_and_registration():
+    rng = np.random.default_rng(9)
+    v = np.repeat(rng.standard_normal((40, 5)) + 1000, 2, axis=0)  # far from zero, where products cancel, and with ties
+    q = v[:7] + 1e-3
+    for k in (1, 4, 200):
+        a, b = topk.local_knn(v, q, k), topk.matrix_knn(v, q, k)
+        assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+    topk.register_kernel("own", lambda *x: topk.local_knn(*x))
+    try:
+        assert topk.kernel_of("own") == "own"
+    finally:
+        del topk.KERNELS["own"], topk.BACKENDS["own"]
