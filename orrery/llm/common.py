@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,22 +11,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.shared import shared_dir
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one only if that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 _scopes: list[list[str]] = []
 
 
@@ -50,17 +39,41 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where df has a column of that name already, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost nothing.
 
-    Shuffle files of the finished job go when the driver collects its garbage, which is asked for here, so
-    that a chain of jobs needs the disk of one. keep: the table outlives the innermost scratch().
+    The job's shuffle files go when it is done, so that a chain of jobs needs the disk of one. keep: the table
+    outlives the innermost scratch().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/orrery/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)  # snappy would take memory beside the heap
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    path = f"{shared_dir(spark)}/orrery/{uuid.uuid4().hex}"
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)  # snappy would take memory beside the heap
     scopes = _scopes[:-1] if keep else _scopes
     if scopes:
         scopes[-1].append(path)

@@ -269,9 +269,9 @@ def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     near = shared.join(label.select(F.col("node").alias("rep"), F.col("label").alias("x")), "rep", "left").join(label.select(F.col("node").alias("f_rep"), F.col("label").alias("y")), "f_rep", "left")
     near = near.select("h", "p", "rep", "n", "f_rep", F.coalesce("x", "rep").alias("x"), F.coalesce("y", "f_rep").alias("y"))
     sizes = near.groupBy("h").agg(F.count_if(F.col("x") != F.col("y")).alias("lefts"), F.count_if(F.col("rep") != F.col("f_rep")).alias("others")).where("lefts > 0")
-    near = cut(near.join(sizes, "h").join(different.select("rep", "bands", "bits"), "rep"))
+    near = cut(near.join(sizes, "h"))
     is_hot = F.col("lefts") * F.col("others") > HOT
-    cold = near.where(~is_hot)
+    cold = near.where(~is_hot).join(different.select("rep", "bands", "bits"), "rep")
     left, others = cold.where("x <> y").alias("l"), cold.where("rep <> f_rep").alias("o")
     agree = COMPONENTS - sum((F.bit_count(F.col("l.bits")[i].bitwiseXOR(F.col("o.bits")[i])) for i in range(4)), F.lit(0))
     before = F.exists(F.zip_with(F.slice("l.bands", 1, F.col("l.p")), F.slice("o.bands", 1, F.col("l.p")), lambda x, y: x == y), lambda same: same)
@@ -280,7 +280,7 @@ def _classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     met = (F.col("l.h") == F.col("o.h")) & (F.col("l.x") != F.col("o.x")) & once & _sizes(F.col("l.n"), F.col("o.n")) & (agree >= LEAST_BITS) & ~before
     more = others.join(left, met).select(F.least("l.rep", "o.rep").alias("a"), F.greatest("l.rep", "o.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     late = _verified(docs, cut(more))
-    hot = cut(near.where(is_hot).drop("bands", "bits"))
+    hot = cut(near.where(is_hot))
     if not hot.isEmpty():
         late = late.union(cut(_hot_links(docs, hot)))
     # Late links join components, so their graph is one of labels.

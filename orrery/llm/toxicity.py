@@ -11,19 +11,19 @@ of its strings gives the score. A weighted sum over landmarks is a linear functi
 so the trained machine is one table of weights; scoring looks each distinct string up once.
 
 Training takes at most SAMPLE_TOXIC toxic and SAMPLE_CLEAN other labelled documents of the training fold,
-those with the smallest hash of their id: a documented bound on labelled rows alone. Scoring takes every
-text whole.
+those with the smallest hash of their id: a documented bound on labelled rows alone. They are trained on in one
+task. Scoring takes every text whole.
 
 Defined results: a null text counts as empty, and an empty text scores 0; without toxic or without clean
-training rows every score is 0; null labels are not learnt from; of repeated label rows the largest counts;
-each row is scored alone, so repeated rows agree; other columns are ignored.
+training rows every score is 0; null labels and null ids are not learnt from; of repeated label rows the largest
+counts, and of documents that share an id the least text; very long texts are scored whole, by all their strings;
+each row is scored alone, so repeated rows agree, ties do not occur, and a row with a null id is scored and not held
+out; an empty table gives no rows; other columns, of whatever name, are ignored, or kept by `keep_clean`.
 """
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
+import pickle
 import re
 import unicodedata
 import zlib
@@ -69,7 +69,9 @@ def fold(word: str) -> bytes:
 
 
 def windows(code: bytes) -> list[bytes]:
-    """A string of ordinary length as it is, a longer one in overlapping windows that cover it."""
+    """A string of ordinary length as it is, a longer one in overlapping windows that cover it; one or two letters are filled up with zeros to have a subsequence."""
+    if 0 < len(code) < 3:
+        return [code.ljust(3, b"\0")]
     if len(code) <= WINDOW:
         return [code]
     return [code[i : i + WINDOW] for i in range(0, len(code) - WINDOW // 2, WINDOW // 2)]
@@ -95,13 +97,13 @@ def features(m: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
         yield index + _OFFSET * (len(p) == 4), DECAY ** (p[-1] + 1) / _norm(n)
 
 
-def by_length(codes: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_length(codes: list[bytes], rows: int = 8_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions in codes, and their strings as a matrix, for each length."""
     lengths = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
     for n in np.unique(lengths[lengths >= 3]):
         at = np.flatnonzero(lengths == n)
-        for i in range(0, len(at), 8_000):
-            part = at[i : i + 8_000]
+        for i in range(0, len(at), rows):
+            part = at[i : i + rows]
             yield part, np.frombuffer(b"".join(codes[j] for j in part), dtype=np.uint8).reshape(len(part), n)
 
 
@@ -111,6 +113,17 @@ class Model:
     bias: float
     curve: np.ndarray
 
+    def packed(self) -> bytes:
+        at = np.flatnonzero(self.weights).astype(np.int32)
+        return zlib.compress(pickle.dumps((len(self.weights), at, self.weights[at], self.bias, self.curve)), 1)
+
+    @staticmethod
+    def unpacked(data: bytes) -> Model:
+        size, at, values, bias, curve = pickle.loads(zlib.decompress(data))
+        weights = np.zeros(size, dtype=np.float32)
+        weights[at] = values
+        return Model(weights, bias, curve)
+
     def margins(self, codes: list[bytes]) -> np.ndarray:
         out = np.full(len(codes), -np.inf)
         for at, m in by_length(codes):
@@ -156,10 +169,9 @@ def _kernel(codes: list[bytes], marks: list[bytes]) -> np.ndarray:
     rows, cols, values = map(np.concatenate, (rows, cols, values))
     order = np.argsort(rows, kind="stable")
     rows, cols, values = rows[order], cols[order], values[order]
-    starts = np.zeros(_OFFSET + LETTERS**4 + 1, dtype=np.int32)
-    np.cumsum(np.bincount(rows, minlength=_OFFSET + LETTERS**4), out=starts[1:])
+    starts = np.searchsorted(rows, np.arange(_OFFSET + LETTERS**4 + 1)).astype(np.int32)
     out = np.zeros((len(codes), len(marks)))
-    for at, m in by_length(codes):
+    for at, m in by_length(codes, 1_000):  # each row meets many entries of the lists
         for index, weight in features(m):
             flat = index.ravel()
             who = np.repeat(at, index.shape[1])
@@ -301,25 +313,24 @@ def _calibrate(x: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """Train on labelled rows whose fold is not the held one. At most SAMPLE_* rows reach the driver."""
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(F.crc32(F.col(id_col).cast("string")) % folds != held)
-    marks = marks.groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
+    """Train on labelled rows whose fold is not the held one, in one task that gets SAMPLE_* rows at most; the driver gets the table of weights."""
+    marks = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").where(F.crc32(F.col("id").cast("string")) % folds != held)
+    marks = marks.groupBy("id").agg(F.max("y").alias("y"))
     chosen = None
     for want, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        part = marks.where(F.col("y") == want).orderBy(F.xxhash64(id_col), id_col).limit(most)
+        part = marks.where(F.col("y") == want).orderBy(F.xxhash64("id"), "id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    found = documents.select(documents[id_col].alias(id_col), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), id_col)
-    rows = sorted({(r[id_col], r["text"], r["y"]) for r in found.collect()})
-    model = train([r[1] for r in rows], [r[2] for r in rows])
-    _give_back()
-    return model
+    found = documents.select(documents[id_col].alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    found = found.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "text", "y"))))
+        model = train([r[1] for r in rows], [r[2] for r in rows])
+        if model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], names=["model"])
 
-def _give_back() -> None:
-    """Hand memory that training has freed back to the system, where the C library can; the driver needs it later."""
-    gc.collect()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    made = found.repartition(1).mapInArrow(run, "model binary").collect()
+    return Model.unpacked(made[0]["model"]) if made else None
 
 
 class Scorer:
