@@ -194,6 +194,26 @@ def test_dedup_keeps_columns_and_clean_texts(docs_of, edges, empty):
     assert line_dedup.dedup(empty).count() == 0 and line_dedup.report(empty).count() == 0
 
 
+def test_clashing_columns(spark):
+    names = ("_no", "_id", "_kept", "doc", "no", "kept", "key", "n_lines", "rid", "text_", "class_id", "id", "label", "rep", "h", "a", "b")
+    rows = [(i, t, f"x{i}") for i, t in enumerate(["a line that stands twice\nown line", "a line that stands twice", "something else here"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra string").select("doc_id", "text", *(line_dedup.F.col("extra").alias(n) for n in names))
+    out = {r["doc_id"]: r for r in line_dedup.dedup(df).collect()}
+    assert set(out) == {0, 2} and all(out[i][n] == f"x{i}" for i in out for n in names)
+    assert {r["doc_id"]: (r["n_lines"], r["removed"]) for r in line_dedup.report(df).collect()} == {0: (2, ""), 1: (1, "0"), 2: (1, "")}
+    kept = {r["doc_id"]: r for r in minhash.keep_first(df).collect()}
+    assert set(kept) == {0, 1, 2} and all(kept[i][n] == f"x{i}" for i in kept for n in names)
+    assert line_dedup.classes(df).count() == 4 and minhash.classes(df).count() == 3
+
+
+def test_sketch_bounds_the_difference(docs_of):
+    rows = docs_of([(0, " ".join(f"s{i}" for i in range(300))), (1, " ".join(f"s{i}" for i in range(40, 330)))])
+    lines = line_dedup.lines_of(rows, "doc_id", "text")
+    a, b = line_dedup.keyed_lines(lines, line_dedup.rarity(lines)).orderBy("doc").collect()
+    differ = sum(bin((a[c] ^ b[c]) & (1 << 64) - 1).count("1") for c in ("par", "odd"))
+    assert 0 < differ <= 70
+
+
 @pytest.mark.parametrize("n", range(1, 60))
 def test_prefix_lengths(n):
     """The stored prefix is long enough for every partner's size."""
