@@ -8,10 +8,10 @@ at each. Every layer maps its characters to a span of the original text; what is
 is reported with that span, under the kind followed by the layers passed, as in `access>base64>gzip`.
 
 Defined results: a null text counts as empty, and an empty text has no findings; texts are taken whole, at
-any length; each row is judged alone, so repeated rows agree; other columns are ignored. Bytes of base64 that are
-no UTF-8 count as U+FFFD; compressed data is unwrapped until none is left, all its members taken. A compressed layer
-is read up to MAX_LAYER bytes, a guard against archives made to exhaust memory; one beyond is reported as a
-finding of kind `oversize`, so it is never passed over silently.
+any length; each row is judged alone, so repeated rows agree and ties do not occur; an empty table gives no rows; null
+ids stay; other columns, of whatever name, are ignored, or kept by `redact_documents`. Bytes that are no UTF-8 count as
+U+FFFD. Compressed data is unwrapped until none is left, all its members taken; content of more than MAX_LAYER bytes is
+inflated as a stream and scanned in windows of that size, which overlap by OVERLAP bytes.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from __future__ import annotations
 import base64
 import binascii
 import hashlib
+import itertools
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -38,8 +39,10 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-MAX_LAYER = 16 << 20
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}={0,2}")
+#: Parts of a run that mixes alphabets, or that is a path: of either alphabet, and of letters and digits alone.
+PARTS = [re.compile(rf"[A-Za-z0-9{signs}]{{12,}}={{0,2}}") for signs in ("+/", "_-", "")]
+MAX_LAYER, OVERLAP, CHUNK = 16 << 20, 64 << 10, 1 << 20
 _INVALID = re.compile("[\udc80-\udcff]")
 _KEYWORD = re.compile(r"pass|secr|toke|api", re.A | re.I)
 
@@ -63,15 +66,20 @@ class Layer:
 
     __slots__ = ("text", "starts", "ends", "path")
 
-    def __init__(self, text: str, starts: list[int] | int | None, ends: list[int] | int | None, path: tuple[str, ...]) -> None:
+    def __init__(self, text: str, starts: np.ndarray | int | None, ends: np.ndarray | int | None, path: tuple[str, ...]) -> None:
         self.text, self.starts, self.ends, self.path = text, starts, ends, path
 
-    def span(self, a: int, b: int) -> tuple[int, int]:
+    def spans(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the spans of stretches from the character `first` to `last`, which is included."""
         if self.starts is None:
-            return a, b
+            return first, last + 1
         if isinstance(self.starts, int):
-            return self.starts, self.ends
-        return self.starts[a], max(self.ends[a:b])
+            return np.full(len(first), self.starts), np.full(len(first), self.ends)
+        return self.starts[first], self.ends[last]
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        start, end = self.spans(np.array([a]), np.array([b - 1]))
+        return int(start[0]), int(end[0])
 
     def mark(self) -> bytes:
         """A digest of the text and of the places its characters stem from."""
@@ -79,21 +87,25 @@ class Layer:
         if isinstance(self.starts, int):
             out.update(b"%d:%d" % (self.starts, self.ends))
         elif self.starts is not None:
-            out.update(array("q", self.starts))
-            out.update(array("q", self.ends))
+            out.update(self.starts.tobytes())
+            out.update(self.ends.tobytes())
         return out.digest()
 
 
-def _text_of(raw: bytes, at: list[tuple[int, int]]) -> tuple[str, list[int], list[int]]:
-    """UTF-8 text of raw, and the span of each character; at has the span of each byte. An invalid byte becomes U+FFFD."""
+def _sizes(text: str) -> np.ndarray:
+    """Bytes of each character in UTF-8; one that stands for an invalid byte has one."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    n = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+    n[(points >= 0xDC80) & (points <= 0xDCFF)] = 1
+    return n
+
+
+def _text_of(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray, np.ndarray]:
+    """UTF-8 text of raw, and the span of each character, by those of the bytes. An invalid byte becomes U+FFFD."""
     text = raw.decode(errors="surrogateescape")
-    starts, ends, i = [], [], 0
-    for c in text:
-        n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
-        starts.append(at[i][0])
-        ends.append(at[i + n - 1][1])
-        i += n
-    return _INVALID.sub("\ufffd", text), starts, ends
+    n = _sizes(text)
+    behind = np.cumsum(n)
+    return _INVALID.sub("\ufffd", text), starts[behind - n], ends[behind - 1]
 
 
 def _printable(text: str) -> bool:
@@ -102,30 +114,26 @@ def _printable(text: str) -> bool:
 
 def _escapes(layer: Layer, pattern: re.Pattern, name: str, decode) -> Layer | None:
     """The whole layer with its escapes replaced; its other characters keep their own spans."""
-    bytes_, at, last, hit = [], [], 0, False
+    parts: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+    last = 0
 
     def plain(a: int, b: int) -> None:
-        for i in range(a, b):
-            raw = layer.text[i].encode()
-            bytes_.append(raw)
-            at.extend([layer.span(i, i + 1)] * len(raw))
+        if a < b:
+            at = np.repeat(np.arange(a, b), _sizes(layer.text[a:b]))
+            parts.append((layer.text[a:b].encode(), *layer.spans(at, at)))
 
     for m in pattern.finditer(layer.text):
         raw = decode(m[0])
         if raw is None:
             continue
-        hit = True
         plain(last, m.start())
-        bytes_.append(raw)
-        if name == "url":
-            at.extend(layer.span(m.start() + 3 * i, m.start() + 3 * i + 3) for i in range(len(raw)))
-        else:
-            at.extend([layer.span(m.start(), m.end())] * len(raw))
+        at = m.start() + (3 * np.arange(len(raw)) if name == "url" else np.zeros(len(raw), dtype=np.int64))
+        parts.append((raw, *layer.spans(at, at + 2 if name == "url" else np.full(len(raw), m.end() - 1))))
         last = m.end()
-    if not hit:
+    if not last:
         return None
     plain(last, len(layer.text))
-    return Layer(*_text_of(b"".join(bytes_), at), (*layer.path, name))
+    return Layer(*_text_of(b"".join(p[0] for p in parts), *(np.concatenate([p[i] for p in parts]) for i in (1, 2))), (*layer.path, name))
 
 
 def _code_point(escape: str) -> bytes | None:
@@ -136,14 +144,8 @@ def _code_point(escape: str) -> bytes | None:
     return chr(value).encode()
 
 
-def _percent(run: str) -> bytes | None:
-    """The bytes of a run of escapes, or None if they are no text by themselves."""
-    raw = bytes.fromhex(run.replace("%", ""))
-    try:
-        raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return raw
+def _percent(run: str) -> bytes:
+    return bytes.fromhex(run.replace("%", ""))
 
 
 def _members(raw: bytes) -> tuple[list[bytes], bytes, str, bool]:
@@ -169,8 +171,8 @@ def _members(raw: bytes) -> tuple[list[bytes], bytes, str, bool]:
     return out, raw, first, whole
 
 
-def _contents(raw: bytes) -> Iterator[tuple[bytes | None, tuple[str, ...]]]:
-    """What raw holds, unwrapped until no compressed data is left, with the formats passed; None for more than MAX_LAYER bytes."""
+def _contents(raw: bytes) -> Iterator[tuple[bytes, tuple[str, ...]]]:
+    """What raw holds, unwrapped until no compressed data is left, with the formats passed; more than MAX_LAYER bytes come in windows."""
     work, seen = [(raw, ())], set()
     while work:
         raw, names = work.pop()
@@ -179,7 +181,7 @@ def _contents(raw: bytes) -> Iterator[tuple[bytes | None, tuple[str, ...]]]:
         seen.add(digest)
         parts, rest, name, whole = _members(raw)
         if sum(map(len, parts)) > MAX_LAYER:
-            yield None, (*names, name)
+            yield from _windows(raw, names)
             continue
         if parts:
             work.append((b"".join([*parts, rest]), (*names, name)))
@@ -188,6 +190,53 @@ def _contents(raw: bytes) -> Iterator[tuple[bytes | None, tuple[str, ...]]]:
             yield raw, names
 
 
+def _windows(raw: bytes, names: tuple[str, ...]) -> Iterator[tuple[bytes, tuple[str, ...]]]:
+    """The content of large compressed data, every level of it inflated as a stream, in overlapping windows."""
+    stream, seen = iter([raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)]), set()
+    while True:
+        head = b""
+        while len(head) < OVERLAP and (more := next(stream, None)) is not None:
+            head += more
+        name = _members(head[:OVERLAP])[2]
+        stream = itertools.chain([head], stream)
+        if not name or (digest := hashlib.sha256(head[:OVERLAP]).digest()) in seen:
+            break
+        seen.add(digest)
+        stream, names = _inflated(stream), (*names, name)
+    held = bytearray()
+    for part in stream:
+        held += part
+        while len(held) > MAX_LAYER:
+            yield bytes(held[:MAX_LAYER]), names
+            del held[: MAX_LAYER - OVERLAP]
+    if held:
+        yield bytes(held), names
+
+
+def _inflated(stream: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of all members that a stream begins with, a chunk at a time, and what stands behind them as it is."""
+    held, d = b"", None
+    for part in stream:
+        held += part
+        while held:
+            if d is None:
+                if not _members(held[:OVERLAP])[0] and len(held) > 64:
+                    yield held
+                    yield from stream
+                    return
+                d = zlib.decompressobj(47)
+            try:
+                out, held = d.decompress(held, CHUNK), b""
+            except zlib.error:
+                return
+            if out:
+                yield out
+            if d.eof:
+                held, d = d.unused_data, None
+            else:
+                held = d.unconsumed_tail
+
+
 def _plain(raw: bytes) -> bool:
     try:
         return _printable(raw.decode())
@@ -195,39 +244,39 @@ def _plain(raw: bytes) -> bool:
         return False
 
 
-def _base64(layer: Layer) -> Iterator[tuple[Layer | None, tuple[int, int], str]]:
+def _decoded(run: str) -> bytes | None:
+    body = run.rstrip("=")
+    url = "-" in body or "_" in body
+    if len(body) % 4 == 1 or url and ("+" in body or "/" in body):
+        return None
+    try:
+        return base64.b64decode(body + "=" * (-len(body) % 4), altchars=b"-_" if url else None)
+    except (binascii.Error, ValueError):
+        return None
+
+
+def _base64(layer: Layer) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1 or body.isalpha() and body.islower():
-            continue
-        url = "-" in body or "_" in body
-        if url and ("+" in body or "/" in body):
-            continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), altchars=b"-_" if url else None)
-        except (binascii.Error, ValueError):
-            continue
-        span = layer.span(m.start(), m.end())
-        for content, names in _contents(raw):
-            path = (*layer.path, "base64", *names)
-            if content is None:
-                yield None, span, ">".join(("oversize", *path))
-            elif names:
-                yield Layer(content.decode(errors="replace"), *span, path), span, ""
-            else:
-                at = [layer.span(m.start() + 4 * (i // 3), min(m.start() + 4 * (i // 3) + 4, m.end())) for i in range(len(raw))]
-                yield Layer(*_text_of(raw, at), path), span, ""
-
-
-def _next(layer: Layer) -> Iterator[tuple[Layer | None, tuple[int, int], str]]:
-    if "%" in layer.text:
-        got = _escapes(layer, PERCENT, "url", _percent)
-        if got:
-            yield got, (0, 0), ""
-    if "\\" in layer.text or "&#" in layer.text:
-        got = _escapes(layer, UNICODE, "unicode", _code_point)
-        if got:
-            yield got, (0, 0), ""
+        raw = _decoded(m[0])
+        spans = [(m.start(), m.end(), raw)] if raw is not None else []
+        if re.search("[+/_-]", m[0]) and (raw is None or not (_members(raw)[0] or _plain(raw))):  # a path, or alphabets mixed
+            inner = {(m.start() + x.start(), m.start() + x.end()) for pattern in PARTS for x in pattern.finditer(m[0])} - {m.span()}
+            spans += [(a, b, part) for a, b in sorted(inner) if (part := _decoded(layer.text[a:b])) is not None]
+        for a, b, raw in spans:
+            for content, names in _contents(raw):
+                path = (*layer.path, "base64", *names)
+                if names:
+                    yield Layer(content.decode(errors="replace"), *layer.span(a, b), path)
+                else:
+                    at = a + 4 * (np.arange(len(raw)) // 3)
+                    yield Layer(*_text_of(raw, *layer.spans(at, np.minimum(at + 4, b) - 1)), path)
+
+
+def _next(layer: Layer) -> Iterator[Layer]:
+    if "%" in layer.text and (got := _escapes(layer, PERCENT, "url", _percent)):
+        yield got
+    if ("\\" in layer.text or "&#" in layer.text) and (got := _escapes(layer, UNICODE, "unicode", _code_point)):
+        yield got
     yield from _base64(layer)
 
 
@@ -239,10 +288,7 @@ def find(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, st
     work = [Layer(text, None, None, ())]
     seen = {work[0].mark()}
     while work:
-        for inner, span, note in _next(work.pop()):
-            if inner is None:
-                found.add((*span, note))
-                continue
+        for inner in _next(work.pop()):
             mark = inner.mark()
             if mark in seen:
                 continue
