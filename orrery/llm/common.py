@@ -87,10 +87,6 @@ def discard(df: DataFrame) -> None:
     _delete(df.sparkSession, df._written)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -1,14 +1,16 @@
 """Best-fit packing of token pieces into sequences of a fixed capacity, improved by local search.
 
 A document of more than `capacity` tokens is cut into pieces of exactly `capacity`, the first of which
-takes the remainder. Pieces are dealt to tasks by a hash of their identity, so equal or hot rows spread;
-within a task they are packed in blocks of at most BLOCK pieces, so memory is bounded. A block starts from
-best-fit decreasing; then pieces between underfull bins are exchanged one for one, two for one, or moved,
-each step raising the sum of squared fills, until no step helps. Bins that become empty vanish.
-
-Defined results: a null or empty text is one piece that holds the end token alone; repeated rows are packed
-each for itself; ties go by size, then id and piece, so that a retried task packs alike; an empty table
-gives no rows; extra columns are ignored.
+takes the remainder. Full pieces are sequences by themselves. The others are numbered and dealt by that number to
+shards of about SHARD pieces, so equal or hot rows spread and memory is bounded, whatever the number of
+partitions. A shard starts from best-fit decreasing; then pieces between underfull bins are exchanged one for one,
+two for one, or moved, each step raising the sum of squared fills, until no step helps. Bins that become empty vanish.
+What lies in underfull bins is then dealt to fewer shards and packed anew, level by level, until one shard has it all
+or the bins no longer get fewer.
+
+Defined results: a null or empty text is one piece that holds the end token alone; very long texts are cut as any
+other; rows with a null id are packed as well; repeated rows are packed each for itself; ties go by size, then number;
+an empty table gives no rows; extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +23,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, slices, text_or_empty
+from .common import cut, scratch, slices, text_or_empty, unused
 
-BLOCK = 1 << 16
+SHARD = 1 << 12
 
 
 class Bins:
@@ -233,45 +234,65 @@ def pieces(df: DataFrame, vocabulary: str, capacity: int = 1024, end: int = 2, i
     return df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def assign(parts: DataFrame, capacity: int = 1024, id_col: str = "doc_id") -> DataFrame:
-    """Adds sequence_id and offset to rows with a length of 1 to capacity. Sequence ids are unique over all tasks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, made = TaskContext.get().partitionId() << 40, 0
-        for table in _blocks(batches):
-            sizes = table.column("length").to_pylist()
-            sequence, offset = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64)
-            for b in pack(sizes, capacity):
-                at = 0
-                for item in b:
-                    sequence[item], offset[item] = base + made, at
-                    at += sizes[item]
-                made += 1
-            out = table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
-            yield from out.combine_chunks().to_batches()
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in parts.dtypes) + ", sequence_id bigint, offset bigint"
-    dealt = parts.repartition(partitions(parts.sparkSession), F.xxhash64(id_col, "piece", "ids_crc32"))
-    return dealt.sortWithinPartitions(id_col, "piece", "ids_crc32").mapInArrow(run, schema)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    held, rows = [], 0
-    for batch in batches:
-        while batch.num_rows:
-            part = batch.slice(0, BLOCK - rows)
-            held.append(part)
-            rows += part.num_rows
-            batch = batch.slice(part.num_rows)
-            if rows == BLOCK:
-                yield pa.Table.from_batches(held)
-                held, rows = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
+def assign(parts: DataFrame, capacity: int = 1024) -> DataFrame:
+    """Adds sequence_id and offset to rows with a length of 1 to capacity. Sequence ids are unique. The table is written."""
+    with scratch(parts.sparkSession):
+        return cut(_assign(parts, capacity), keep=True)
+
+
+def _assign(parts: DataFrame, capacity: int) -> DataFrame:
+    if {"sequence_id", "offset"} & {c.lower() for c in parts.columns}:
+        raise ValueError("the pieces have a column sequence_id or offset already")
+    number, fill, shard = unused(parts, "number", "fill", "shard")
+    numbered = cut(parts.withColumn(number, F.monotonically_increasing_id()))
+    done = numbered.where(F.col("length") == capacity).select(number, (-1 - F.col(number)).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    bins = F.count_if(F.col("offset") == 0)
+
+    def packed(left: DataFrame, shards: int, level: int) -> DataFrame:
+        dealt = left.select(number, "length", F.pmod(F.xxhash64(F.col(number), F.lit(level)), F.lit(shards)).cast("int").alias(shard))
+        return cut(dealt.groupBy(shard).applyInArrow(_packer(capacity, level, number, fill), f"`{number}` bigint, length bigint, sequence_id bigint, offset bigint, `{fill}` bigint"))
+
+    left, level = numbered.where(F.col("length") < capacity), 0
+    shards = -(-left.count() // SHARD)
+    if not shards:
+        return numbered.join(done, number).select(*parts.columns, "sequence_id", "offset")
+    current = packed(left, shards, level)
+    while True:
+        done = done.union(current.where(F.col(fill) == capacity).select(number, "sequence_id", "offset"))
+        current = current.where(F.col(fill) < capacity)
+        n, before = current.agg(F.count("*"), bins).first()
+        if shards == 1 or not n:
+            break
+        shards, level = -(-n // SHARD), level + 1
+        again = packed(current, shards, level)
+        if again.agg(bins).first()[0] >= before:
+            break
+        current = again
+    done = done.union(current.select(number, "sequence_id", "offset"))
+    return numbered.join(done, number).select(*parts.columns, "sequence_id", "offset")
+
+
+def _packer(capacity: int, level: int, number: str, fill: str):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        base = level << 52 | key[0].as_py() << 20
+        table = table.sort_by(number).select([number, "length"])
+        sizes = table.column("length").to_pylist()
+        sequence, offset, fills = (np.empty(len(sizes), dtype=np.int64) for _ in range(3))
+        for i, b in enumerate(pack(sizes, capacity)):
+            at = 0
+            for item in b:
+                sequence[item], offset[item] = base + i, at
+                at += sizes[item]
+            fills[b] = at
+        for name, values in (("sequence_id", sequence), ("offset", offset), (fill, fills)):
+            table = table.append_column(name, pa.array(values))
+        return table
+
+    return run
 
 
 def pack_documents(df: DataFrame, vocabulary: str, capacity: int = 1024, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return assign(pieces(df, vocabulary, capacity, end, id_col, text_col), capacity, id_col)
+    return assign(pieces(df, vocabulary, capacity, end, id_col, text_col), capacity)
 
 
 __all__ = ["assign", "pack", "pack_documents", "pieces", "tokenize"]

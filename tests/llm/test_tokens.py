@@ -116,6 +116,62 @@ def test_documents_are_packed_whole(sample, edges, empty):
     assert packing.pack_documents(empty, VOCABULARY).count() == 0
 
 
+def test_sequences_do_not_depend_on_partitions(spark, monkeypatch):
+    """As many sequences for any number of partitions, near the least that tokens need, though shards are small."""
+    monkeypatch.setattr(packing, "SHARD", 300)
+    rng = random.Random(2)
+    sizes = [int(min(1024, max(1, rng.lognormvariate(5.5, 1)))) for _ in range(3000)] + [400] * 1500  # a third of one size
+    made = []
+    for n in (2, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        parts = spark.createDataFrame([(i, x, 5) for i, x in enumerate(sizes)], "doc_id long, length long, number int").repartition(n)
+        rows = packing.assign(parts).collect()
+        assert sorted((r["doc_id"], r["length"]) for r in rows) == list(enumerate(sizes)) and {r["number"] for r in rows} == {5}
+        fills = defaultdict(list)
+        for r in rows:
+            fills[r["sequence_id"]].append((r["offset"], r["length"]))
+        for parts in fills.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 1024
+        made.append(len(fills))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    whole = len(packing.pack(sizes, 1024))  # all in one shard
+    assert all(n <= 1.01 * whole for n in made) and abs(made[0] - made[1]) <= 0.005 * whole, (made, whole)
+
+
+def optimum(sizes, capacity):
+    """The least number of bins, by trying every way."""
+    best = [len(sizes)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for b in {x: k for k, x in enumerate(bins)}.values():
+            if bins[b] + sizes[i] <= capacity:
+                place(i + 1, [x + sizes[i] * (k == b) for k, x in enumerate(bins)])
+        place(i + 1, [*bins, sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_few_pieces_are_packed_almost_as_well_as_can_be():
+    rng = random.Random(5)
+    over = 0
+    for _ in range(40):
+        sizes = sorted((rng.randint(1, 20) for _ in range(9)), reverse=True)
+        got, least = len(packing.pack(sizes, 20)), optimum(sizes, 20)
+        assert least <= got <= least + 1
+        over += got - least
+    assert over <= 4
+
+
 def cut(ids):
     first = (len(ids) - 1) % 1024 + 1
     yield 0, ids[:first]
