@@ -46,7 +46,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 3_000
 LANDMARKS, NEGATIVES, ROUNDS, COST, MOST_WEIGHT = 384, 8_000, 3, 4.0, 200
 RIDGE, STEPS = 1e-3, 15
 WINDOW, CLEAN_WEIGHT, PENALTY, INSERTED = 24, 1.0, 0.1, 4
-CACHE_WORDS = 400_000
+CACHE_WORDS = 120_000
 SPACED = re.compile(r"(?:(?<!\S)\S[^\S\n]){2,}\S(?!\S)")
 # Signs and digits that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"}
