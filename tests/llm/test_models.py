@@ -48,7 +48,7 @@ def test_exchange_finds_the_blocks():
     for i in range(61):
         for j in range(61):
             pairs[i, j] = 0 if 0 in (i, j) else rng.poisson(12 if groups[j] == groups[i] % 3 + 1 else 0.05)
-    found = lm.exchange(pairs, classes=4, sweeps=30)
+    found = lm.exchange(pairs, classes=4)
     assert len({(a, b) for a, b in zip(groups, found)}) == 4
 
     def likelihood(g):
@@ -59,13 +59,65 @@ def test_exchange_finds_the_blocks():
     assert likelihood(found) >= likelihood(groups) - 1e-6
 
 
-def test_probabilities_sum_to_one():
-    counts = np.array([[0, 5, 1], [2, 0, 0], [0, 0, 0.0]])
+def test_transitions_sum_to_one():
+    counts = np.array([[0, 5, 1, 0], [2, 0, 0.3, 0], [0, 0, 0.0, 0], [0, 0, 0, 0]])
     np.testing.assert_allclose((10 ** lm.transitions(counts)).sum(axis=1), 1)
-    c = np.array([3.0, 1.0, 1.0])
-    known = 10 ** lm.emission(c, np.full(3, 5.0), np.full(3, 3.0))
-    unknown = 10 ** lm.emission(np.zeros(1), np.full(1, 5.0), np.full(1, 3.0))
-    assert known.sum() + unknown[0] == pytest.approx(1)
+
+
+def test_model_matches_brute_force(docs_of, monkeypatch):
+    """Classes of words beyond the core, bigrams of classes and scores, against plain loops; every row of the model sums to one."""
+    monkeypatch.setattr(lm, "CORE", 12)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(60)], k=rng.randrange(0, 40))) for _ in range(80)]
+    df = docs_of(list(enumerate(texts)))
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    model, rest = lm.train(docs_of(list(enumerate(train))).select("text"))
+    known = {w.decode(): kc for w, kc in model.core.items()} | {bytes(r["word"]).decode(): (r["k"], r["c"]) for r in rest.collect()}
+    count = Counter(w for t in train for w in [*t.split(), ""])
+    assert {w: c for w, (_, c) in known.items()} == count and len(model.core) == 13
+    rare = set(known) - {w.decode() for w in model.core}
+    k_ = lm.CLASSES
+    core_side = lambda w: k_ if w in rare else known[w][0]
+    between, mass = np.zeros((k_ + 1, k_ + 1)), np.zeros(k_ + 1)
+    for w, (k, c) in known.items():
+        if w not in rare:
+            mass[k] += c
+    lines = [["", *t.split(), ""] for t in train]
+    for line in lines:
+        for a, b in zip(line, line[1:]):
+            between[core_side(a), core_side(b)] += 1
+    gains, cost = lm.neighbour_gains(between, mass)
+    value = {w: np.zeros(k_ - 1) for w in rare}
+    for line in lines:
+        for a, w, b in zip(line, line[1:], line[2:]):
+            if w in rare:
+                value[w] += gains[core_side(a)] + gains[lm.SIDE + core_side(b)] - cost
+    for w in rare:
+        assert value[w][known[w][0] - 1] == pytest.approx(value[w].max())
+    full, behind, before = np.zeros((k_, k_)), np.zeros(k_), np.zeros(k_)
+    for line in lines:
+        for a, b in zip(line, line[1:]):
+            if a in rare and b in rare:
+                behind[known[a][0]] += 1
+                before[known[b][0]] += 1
+            else:
+                full[known[a][0], known[b][0]] += 1
+    full += np.outer(behind, before) / max(1, before.sum())
+    np.testing.assert_allclose(model.step, lm.transitions(full))
+    total = Counter()
+    for k, c in known.values():
+        total[k] += c
+    emit = {w: 1.0 if w == "" else (c - lm.DISCOUNT) / total[k] for w, (k, c) in known.items()}
+    for h in range(k_ + 1):
+        assert sum(10 ** model.step[h, k] * emit[w] for w, (k, _) in known.items()) + 10 ** model.unknown[h] == pytest.approx(1, abs=1e-6)
+    for r in lm.score(df).collect():
+        at, s = 0, 0.0
+        for w in [*texts[r["doc_id"]].split(), ""]:
+            k = known[w][0] if w in known else k_
+            s += model.unknown[at] if k == k_ else model.step[at, k] + math.log10(emit[w])
+            at = k
+        assert r["score"] == pytest.approx(s, abs=1e-6)
 
 
 def test_toxicity_on_held_out_rows(spark):
