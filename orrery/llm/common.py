@@ -40,7 +40,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
     spark.conf.set(name, value)
     try:
@@ -72,7 +72,7 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orrery/{uuid.uuid4().hex}"
-    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.option("compression", "zstd").parquet(path)  # snappy would take memory beside the heap
     scopes = _scopes[:-1] if keep else _scopes
     if scopes:
