@@ -3,12 +3,14 @@
 Vectors and queries are dealt to a grid of cells: a vector goes to every column of its row group, a query
 to every row group of its column. A cell holds a bounded number of both. In a cell, tiles of queries and
 vectors are multiplied, each tile keeps a partial selection, and the cell returns k per query. The lists of
-the row groups then merge level by level, FAN_IN at a time, so no task meets more than FAN_IN * k of a query.
+the row groups then merge level by level, FAN_IN at a time, so no task meets more than FAN_IN * (k + 1) of a query.
+A query's own row is searched like any other; it leaves the merged list of k + 1, if it is in there.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, neither as
-queries nor as candidates; nor do rows with a null id. A query finds every row but those of its own id. Of
-repeated rows each counts. Ties go to the smaller id. If there are fewer than k rows, all return. Vectors
-whose length differs from a query's are not comparable and raise ValueError. An empty table gives no rows.
+queries nor as candidates; nor do rows with a null id. A query finds every row but its own, so also others of
+its id. Of repeated rows each counts, and each has a list of its own as a query. Ties go to the smaller id. If there
+are fewer than k rows, all return. Vectors whose length differs from a query's are not comparable and raise
+ValueError. Other columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(n, int(lengths[0]))
 
 
-def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Query ids, vector ids and scores of each tile of queries, the best k of a query first."""
+def best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of queries, vector ids and scores of each tile of queries, the best k of a query first."""
     if queries.shape[1] != vectors.shape[1]:
         raise ValueError(f"vectors of lengths {queries.shape[1]} and {vectors.shape[1]}")
     order = np.argsort(ids, kind="stable")  # of equal scores the smaller id comes first
@@ -54,29 +56,20 @@ def best(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: n
     kind = np.float64 if limit < 2**53 else np.int64  # sums below 2**53 are exact in doubles
     held = vectors.astype(kind)
     for a in range(0, len(queries), TILE_QUERIES):
-        q, own = queries[a : a + TILE_QUERIES].astype(kind), query_ids[a : a + TILE_QUERIES]
-        rows, found, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        q = queries[a : a + TILE_QUERIES].astype(kind)
+        rows, found, scores = [], [], []
         for b in range(0, len(held), TILE_VECTORS):
-            part, part_ids = held[b : b + TILE_VECTORS], ids[b : b + TILE_VECTORS]
-            product = q @ part.T
-            if kind is np.int64:
-                product = product.astype(np.int64)
-            mine = own[:, None] == part_ids[None, :]
-            least = product.min() - 1
-            product[mine] = least
-            if product.shape[1] > k:
-                bound = -np.partition(-product, k - 1, axis=1)[:, k - 1 : k]
-                at = np.nonzero((product >= bound) & ~mine)  # ties at the bound are all kept until the merge
-            else:
-                at = np.nonzero(~mine)
-            rows.append(at[0]), found.append(part_ids[at[1]]), scores.append(product[at].astype(np.int64))
+            product = q @ held[b : b + TILE_VECTORS].T
+            bound = -np.partition(-product, k - 1, axis=1)[:, k - 1 : k] if product.shape[1] > k else product.min()
+            at = np.nonzero(product >= bound)  # ties at the bound are all kept until the merge
+            rows.append(at[0]), found.append(ids[b + at[1]]), scores.append(product[at].astype(np.int64))
         row, vec, score = map(np.concatenate, (rows, found, scores))
         order = np.lexsort((vec, -score, row))
         row, vec, score = row[order], vec[order], score[order]
         starts = np.flatnonzero(np.diff(row, prepend=-1))
         rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
         keep = rank < k
-        yield own[row[keep]], vec[keep], score[keep]
+        yield a + row[keep], vec[keep], score[keep]
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -86,28 +79,39 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     spark = df.sparkSession
     base = quantised(df, id_col, vector_col, scale)
     queries = quantised(df.where(is_query), id_col, vector_col, scale)
+    # Repeated rows have the same list, which is found once; q tells a query from others of its id.
+    queries = queries.groupBy("id", "v").agg(F.count("*").alias("times")).withColumn("q", F.xxhash64("v"))
     n, nq = base.count(), queries.count()
     groups = max(LEAST_GROUPS, -(-n // CELL_VECTORS))
     columns = max(1, -(-nq // CELL_QUERIES))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    vectors = base.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g")).select("*", every(columns).alias("c"))
-    asked = queries.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("c")).select("*", every(groups).alias("g"))
+    dealt = lambda m: F.pmod(F.xxhash64("id", "v"), F.lit(m)).cast("int")
+    vectors = base.select("id", "v", dealt(groups).alias("g")).select("*", every(columns).alias("c"))
+    asked = queries.select("id", "v", "q", "times", dealt(columns).alias("c")).select("*", every(groups).alias("g"))
+    kept = {"query_id": pa.int64(), "q": pa.int64(), "times": pa.int64(), "own": pa.int64(), "g": pa.int32(), "vec_id": pa.int64(), "score": pa.int64()}
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [pa.table({"query_id": pa.array([], pa.int64()), "g": pa.array([], pa.int32()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})]
+        out = [pa.table({c: pa.array([], t) for c, t in kept.items()})]
         if left.num_rows and right.num_rows:
-            g = left.column("g")[0].as_py()
-            for q, v, s in best(_matrix(right.column("v")), right.column("id").to_numpy(), _matrix(left.column("v")), left.column("id").to_numpy(), k):
-                out.append(pa.table({"query_id": q, "g": pa.array(np.full(len(q), g), pa.int32()), "vec_id": v, "score": s}))
+            g, asking = left.column("g")[0].as_py(), _matrix(right.column("v"))
+            own = (asking * asking).sum(axis=1)
+            for at, vec, score in best(asking, _matrix(left.column("v")), left.column("id").to_numpy(), k + 1):
+                made = [*(right.column(c).to_numpy()[at] for c in ("id", "q", "times")), own[at], np.full(len(at), g), vec, score]
+                out.append(pa.table({c: pa.array(x, t) for x, (c, t) in zip(made, kept.items())}))
         return pa.concat_tables(out)
 
-    lists = vectors.groupBy("g", "c").cogroup(asked.groupBy("g", "c")).applyInArrow(cell, "query_id bigint, g int, vec_id bigint, score bigint")
-    order = (F.col("score").desc(), F.col("vec_id").asc())
+    schema = "query_id bigint, q bigint, times bigint, own bigint, g int, vec_id bigint, score bigint"
+    lists = vectors.groupBy("g", "c").cogroup(asked.groupBy("g", "c")).applyInArrow(cell, schema)
     while True:
         groups = -(-groups // FAN_IN)
         lists = lists.withColumn("g", F.floor(F.col("g") / FAN_IN).cast("int"))
-        keys = ["query_id", "g"] if groups > 1 else ["query_id"]
-        lists = lists.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)
+        keys = ["query_id", "q", "g"] if groups > 1 else ["query_id", "q"]
+        lists = lists.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
         if groups <= 1:
-            return lists.select("query_id", "rank", "vec_id", "score")
-        lists = lists.drop("rank")
+            break
+        lists = lists.drop("r")
+    # Rows of one id and score look alike in a list, so that the first one stands for the query's own.
+    itself = F.when((F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own")), F.col("r"))
+    lists = lists.withColumn("self", F.min(itself).over(Window.partitionBy("query_id", "q"))).where(F.col("self").isNull() | (F.col("r") != F.col("self")))
+    lists = lists.withColumn("rank", F.when(F.col("r") > F.col("self"), F.col("r") - 1).otherwise(F.col("r"))).where(F.col("rank") <= k)
+    return lists.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select("query_id", "rank", "vec_id", "score")

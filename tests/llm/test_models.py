@@ -164,9 +164,9 @@ def test_toxicity_edges(spark, edges, empty, tiny):
 def brute_top(rows, is_query, k, scale=1024):
     good = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in good:
+    for n, (q, a) in enumerate(good):
         if is_query(q):
-            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q)[:k]
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for m, (i, b) in enumerate(good) if m != n)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -175,6 +175,7 @@ def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in np.round(rng.standard_normal(4), 1)]) for i in range(150)]
     rows += [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan"), 0.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0, 0.0]), (203, [float("inf"), 0.0, 0.0, 0.0]), (3, [9.0, 9.0, 9.0, 9.0])]
+    rows += [(20, [9.0, 9.0, 9.0, 9.0]), (20, [9.0, 9.0, 9.0, 9.0]), (30, rows[30][1]), *[(40, [0.5, -0.5, 0.5, 0.0])] * 8]  # ids that repeat, with equal and other vectors
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 10 == 0, 5).collect())
     floats = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
