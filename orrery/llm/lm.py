@@ -11,11 +11,12 @@ by classes. A token's probability is
 
 with absolute discounting towards class frequencies in the first and towards unknown words in the second factor, so
 the model gives every word a probability. The end token has a class of its own and stands before a text's first word.
-Bigrams of classes are exact but where both words are beyond the core; those are spread by the margins that are known
-of them: how often words of each class stand before and behind a word beyond the core.
+Bigrams of classes are counted over all training texts, once every word has its class (`counted`, as the query has it). By default, and
+in train(), those of two words beyond the core are instead spread by the margins that are known of them: how often words of each class stand
+before and behind a word beyond the core.
 
-No vocabulary is broadcast but the core. For scoring, texts are dealt to buckets of bounded size; a bucket
-gets the counts and classes of just the words it holds, by a join on the word.
+No vocabulary is broadcast but the core. Texts are split into words once and written as blocks of bounded size, of
+numbers into the block's own list of words; a block gets the counts and classes of just the words it holds.
 
 Defined results: a null text counts as empty, and an empty text is one end token; a null id counts as the
 empty text in the fold; very long texts are taken whole; without training rows known counts are 0, and score is
@@ -25,23 +26,27 @@ other columns, of whatever name, are ignored.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, text_or_empty
+from .common import cut, discard, slices, text_or_empty
 
 #: Words clustered by full exchange, and classes, the end token's among them.
 CORE, CLASSES = 1_536, 64
 DISCOUNT = 0.6
-BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
-FLUSH_WORDS, FLUSH_CONTEXTS = 300_000, 4 << 20
+#: Bytes of text from which a block is full, and bits of its number below its task's.
+BLOCK_BYTES, TASK_BITS = 16 << 20, 13
+#: Words beyond the core whose neighbours are counted at a time; less than 2 ** 23, so that counts fit in three bytes.
+CONTEXTS = 4 << 20
 SUMMING_TASKS = 16
 #: A neighbour's class, or CLASSES for words beyond the core, on the left and on the right.
 SIDE = CLASSES + 1
@@ -49,31 +54,65 @@ END = b""  # never a word
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words with A-Z lowered, split at ASCII white space."""
-    return text.encode().translate(_LOWER).split()
-
-
 def held_out(id_col: str, folds: int, held: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == held
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter[bytes] = Counter()
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Texts as numbers, written. docs has id, text and trains. A row is a block of texts as they lie, bounded but for a longer text:
+    its different words, END first, how often each stands in training texts, and of its texts the words' places with END last."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        texts: list[np.ndarray] = []
+        ids: list[pa.Array] = []
+        trains: list[np.ndarray] = []
+        size = number[END]
+
+        def flush() -> pa.RecordBatch:
+            nonlocal made, size
+            places, lengths, learnt = np.concatenate(texts), np.array([len(x) for x in texts], dtype=np.int32), np.concatenate(trains)
+            times = np.bincount(places[np.repeat(learnt, lengths)], minlength=len(number))
+            listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            columns = [pa.array([(task << TASK_BITS) + made], pa.int64()), listed(pa.array(list(number), pa.binary())), listed(pa.array(times, pa.int32())), *(pa.array([x.tobytes()], pa.binary()) for x in (places, lengths, learnt)), listed(pa.concat_arrays(ids))]
+            made, size = made + 1, 0
+            for x in (number, texts, ids, trains):
+                x.clear()
+            number.default_factory = count().__next__
+            number[END]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "words", "times", "places", "lengths", "trains", "ids"])
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "c"])
-        found.clear()
-        return out
-
-    for batch in slices(batches, "text"):
-        for text in batch.column("text").to_pylist():
-            found.update(words_of(text))
-            found[END] += 1
-        if len(found) > FLUSH_WORDS:
+        for batch in slices(batches, "text"):
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                words = text.translate(_LOWER).split()  # at ASCII white space
+                words.append(END)
+                texts.append(np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words)))
+                size += len(text)
+            ids.append(batch.column("id"))
+            trains.append(batch.column("trains").to_numpy(zero_copy_only=False).astype(bool))
+            if size > BLOCK_BYTES:
+                yield flush()
+        if texts:
             yield flush()
-    if found:
-        yield flush()
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return cut(docs.select("id", "text", "trains").mapInArrow(encode, f"block bigint, words array<binary>, times array<int>, places binary, lengths binary, trains binary, ids array<{kind}>"))
+
+
+def _arrays(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, lengths and training flags of the texts of a block."""
+    return tuple(np.frombuffer(batch.column(c)[row].as_py(), dtype=t) for c, t in (("places", np.int32), ("lengths", np.int32), ("trains", bool)))
+
+
+def _learnt(places: np.ndarray, lengths: np.ndarray, trains: np.ndarray) -> np.ndarray:
+    """The places of all training texts in a row, END before the first; so neighbours in the row are the bigrams."""
+    return np.concatenate([np.zeros(1, np.int32), places[np.repeat(trains, lengths)]])
+
+
+def _units(words: pa.Array, core: pa.Array) -> np.ndarray:
+    """Of each word its place in the core, or the size of the core."""
+    return pc.fill_null(pc.index_in(words, value_set=core), len(core)).to_numpy()
 
 
 @dataclass
@@ -164,14 +203,23 @@ def transitions(counts: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame) -> tuple[Model | None, DataFrame]:
-    """The model, and the training words beyond its core (word, c, k) as a written table. docs has text, without nulls."""
-    counts = cut(docs.select("text").mapInArrow(_count_words, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")))
+    """The model, with bigrams of two words beyond the core spread by their margins, and the training words beyond its core
+    (word, c, k) as a written table. docs has text, without nulls. score() with counted has the bigrams counted instead."""
+    model, found = _train(_blocks(docs.select(F.lit(0).alias("id"), "text", F.lit(True).alias("trains"))))
+    return model, found.select("word", "c", "k")
+
+
+def _train(blocks: DataFrame) -> tuple[Model | None, DataFrame]:
+    """The model of train(), and its words beyond the core with the places (block, number) where they stand in blocks, written."""
+    words = blocks.select("times", F.posexplode("words").alias("i", "word")).select("word", F.get("times", F.col("i")).alias("c")).where("c > 0")
+    counts = cut(words.groupBy("word").agg(F.sum("c").alias("c")))
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     if not tokens:
-        return None, counts.withColumn("k", F.lit(CLASSES))
+        return None, counts.select("word", "c", F.lit(CLASSES).alias("k"), F.array().cast("array<bigint>").alias("at"))
     top = counts.where(F.length("word") > 0).orderBy(F.col("c").desc(), "word").limit(CORE).collect()
     count = {END: counts.where(F.length("word") == 0).first()["c"]} | {bytes(r["word"]): r["c"] for r in top}
-    pairs = _unit_bigrams(docs, list(count))
+    discard(counts)
+    pairs = _unit_bigrams(blocks, list(count))
     group = exchange(pairs, CLASSES + 1, ((0, 0), (len(count), CLASSES)))
     core = {w: (int(k), c) for (w, c), k in zip(count.items(), group)}
     member = np.zeros((len(group), CLASSES + 1))
@@ -179,7 +227,7 @@ def train(docs: DataFrame) -> tuple[Model | None, DataFrame]:
     between = member.T @ pairs @ member
     mass = member[:-1].T @ np.array(list(count.values()), dtype=np.float64)
     words = member[:-1].sum(axis=0)
-    rest, table = _join_classes(docs, core, between, mass)
+    rest, table = _join_classes(blocks, core, between, mass)
     left, right = table[:SIDE], table[SIDE:]  # of each class of neighbour and class of word beyond the core
     full = between[:CLASSES, :CLASSES] + left[:CLASSES] + right[:CLASSES].T
     if (both := left[CLASSES].sum()) > 0:
@@ -187,44 +235,36 @@ def train(docs: DataFrame) -> tuple[Model | None, DataFrame]:
     for r in rest.groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():  # a row for each class
         mass[r["k"]] += r["c"]
         words[r["k"]] += r["v"]
-    step = transitions(full)
-    freed = np.where(np.arange(CLASSES) > 0, DISCOUNT * words[:CLASSES] / np.maximum(mass[:CLASSES], 1), 0.0)
-    unknown = np.log10(np.maximum((10**step) @ freed, 1e-300))
-    return Model(core, int(tokens), int(distinct), mass[:CLASSES], words[:CLASSES], step, unknown), rest
+    return _model(core, int(tokens), int(distinct), mass[:CLASSES], words[:CLASSES], full), rest
+
 
+def _model(core: dict[bytes, tuple[int, int]], tokens: int, distinct: int, mass: np.ndarray, words: np.ndarray, bigrams: np.ndarray) -> Model:
+    """The model of class bigrams."""
+    step = transitions(bigrams)
+    freed = np.where(np.arange(CLASSES) > 0, DISCOUNT * words / np.maximum(mass, 1), 0.0)
+    return Model(core, tokens, distinct, mass, words, step, np.log10(np.maximum((10**step) @ freed, 1e-300)))
 
-def _unit_bigrams(docs: DataFrame, core: list[bytes]) -> np.ndarray:
+
+def _unit_bigrams(blocks: DataFrame, core: list[bytes]) -> np.ndarray:
     """Bigram counts of the core words; the last unit stands for all others."""
     units = len(core) + 1
-    sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(core)})
+    sent = blocks.sparkSession.sparkContext.broadcast(core)
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit = sent.value
+        names = pa.array(sent.value, pa.binary())
         held = np.zeros(units * units, dtype=np.int64)
-        waiting, size = [], 0
-
-        def add() -> None:
-            at, n = np.unique(np.concatenate(waiting), return_counts=True)
-            held[at] += n
-            waiting.clear()
-
-        for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                ids = np.fromiter((unit.get(w, units - 1) for w in (END, *words, END)), dtype=np.int64, count=len(words) + 2)
-                waiting.append(ids[:-1] * units + ids[1:])
-                size += len(ids)
-            if size > 1 << 20:
-                add()
-                size = 0
-        if waiting:
-            add()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids = _units(batch.column("words")[row].values, names)[_learnt(*_arrays(batch, row))]
+                for i in range(0, len(ids) - 1, 1 << 22):
+                    part = ids[i : i + (1 << 22) + 1]
+                    held += np.bincount(part[:-1] * units + part[1:], minlength=units * units)
         at = np.flatnonzero(held)
         for i in range(0, len(at), 200_000):
             part = at[i : i + 200_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(held[part])], names=["pair", "n"])
 
-    found = docs.select("text").mapInArrow(bigrams, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most units * units rows
+    found = blocks.select("words", "places", "lengths", "trains").mapInArrow(bigrams, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most units * units rows
     pairs = np.zeros(units * units)
     pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
     return pairs.reshape(units, units)
@@ -239,174 +279,162 @@ def neighbour_gains(between: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray,
     return np.vstack([into, out]), np.log(mass[1:CLASSES] + 1)
 
 
-def _join_classes(docs: DataFrame, core: dict[bytes, tuple[int, int]], between: np.ndarray, mass: np.ndarray) -> tuple[DataFrame, np.ndarray]:
-    """The words beyond the core with their counts and classes (word, c, k), written, and counts of (neighbour's class, class)."""
-    sent = docs.sparkSession.sparkContext.broadcast(({w: i for i, w in enumerate(core)}, np.array([k for k, _ in core.values()], dtype=np.int64)))
+def _join_classes(blocks: DataFrame, core: dict[bytes, tuple[int, int]], between: np.ndarray, mass: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """The training words beyond the core with their counts, classes and places in blocks (word, c, k, at), written, and counts of (neighbour's class, class)."""
+    sent = blocks.sparkSession.sparkContext.broadcast((list(core), np.array([k for k, _ in core.values()] + [CLASSES], dtype=np.int32)))
     gains, cost = neighbour_gains(between, mass)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, classes = sent.value
-        n, number = len(known), dict(known)
-        waiting, size = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal number, size
-            keys, times = np.unique(np.concatenate(waiting), return_counts=True)
-            names = list(number)[n:]
-            which, codes = keys // (2 * SIDE), keys % (2 * SIDE)
-            starts = np.flatnonzero(np.diff(which, prepend=-1))
-            ends = np.append(starts, len(keys))
-            for i in range(0, len(starts), 20_000):
-                a, b = i, min(i + 20_000, len(starts))
-                lists = [pa.ListArray.from_arrays(pa.array(ends[a : b + 1] - ends[a], pa.int32()), pa.array(x[ends[a] : ends[b]], t)) for x, t in ((codes, pa.int16()), (times, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([pa.array([names[w] for w in which[starts[a:b]]], pa.binary()), *lists], names=["word", "codes", "times"])
-            waiting.clear()
-            number, size = dict(known), 0
-
-        for batch in slices(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                for w in set(words).difference(number):
-                    number[w] = len(number)
-                ids = np.fromiter(map(number.__getitem__, (END, *words, END)), dtype=np.int64, count=len(words) + 2)
-                side = np.where(ids < n, classes[np.minimum(ids, n - 1)], CLASSES)
-                at = np.flatnonzero(ids >= n)
-                key = (ids[at] - n) * (2 * SIDE)
-                waiting += [key + side[at - 1], key + SIDE + side[at + 1]]
-                size += 2 * len(at)
-            if size > FLUSH_CONTEXTS or len(number) > n + FLUSH_WORDS:
-                yield from flush()
-        if size:
-            yield from flush()
+        """A row for each word beyond the core and block: its place there, and 4 bytes for each neighbour's class, how often it is met above its code."""
+        names, classes = pa.array(sent.value[0], pa.binary()), sent.value[1]
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words = batch.column("words")[row].values
+                unit = _units(words, names)
+                beyond = unit == len(names)
+                wide = np.int32 if len(unit) * 2 * SIDE < 1 << 31 else np.int64
+                ids = _learnt(*_arrays(batch, row))
+                side = classes[unit][ids]
+                every = np.flatnonzero(beyond[ids])
+                block = batch.column("block")[row].as_py() << 32
+                for i in range(0, max(1, len(every)), CONTEXTS):
+                    at = every[i : i + CONTEXTS]
+                    key = ids[at].astype(wide) * (2 * SIDE)
+                    keys, times = np.unique(np.concatenate([key + side[at - 1], key + SIDE + side[at + 1]]), return_counts=True)
+                    size = np.bincount(keys // (2 * SIDE), minlength=len(unit))
+                    which = np.flatnonzero(size if i else beyond)  # words without a neighbour in training texts as well, once
+                    ends = np.append(0, np.cumsum(size[which])).astype(np.int32) * 4
+                    packed = (times << 8 | keys % (2 * SIDE)).astype(np.uint32)
+                    seen = pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+                    rows = pa.RecordBatch.from_arrays([words.take(pa.array(which)), pa.array(block + which), seen], names=["word", "at", "seen"])
+                    for j in range(0, len(which), 20_000):
+                        yield rows.slice(j, 20_000)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a word stand together; the last word of a batch waits for the next one."""
+        """Rows of a word stand together; those of the last word of a batch wait for the next one."""
         table = np.zeros((2 * SIDE, CLASSES), dtype=np.int64)
-        last, held = None, np.zeros(2 * SIDE)
 
-        def judged(names: list[bytes], seen: np.ndarray) -> pa.RecordBatch:
+        def judged(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+            lists = rows.column("seen").to_pylist()
+            row = np.repeat(np.arange(len(starts)), np.diff(starts, append=rows.num_rows))
+            values = np.frombuffer(b"".join(lists), dtype=np.uint32).astype(np.int64)
+            cell = np.repeat(row, np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)) // 4) * (2 * SIDE) + (values & 255)
+            seen = np.bincount(cell, weights=values >> 8, minlength=len(starts) * 2 * SIDE).reshape(len(starts), -1)
             c = seen[:, :SIDE].sum(axis=1)
             k = 1 + (seen @ gains - c[:, None] * cost).argmax(axis=1)
             order = np.argsort(k, kind="stable")
-            at = np.flatnonzero(np.diff(k[order], prepend=-1))
-            if len(at):
-                table[:, k[order][at]] += np.add.reduceat(seen[order], at, axis=0).T.astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(c.astype(np.int64)), pa.array(k, pa.int32()), pa.nulls(len(names), pa.list_(pa.int64()))], names=["word", "c", "k", "table"])
+            first = np.flatnonzero(np.diff(k[order], prepend=-1))
+            table[:, k[order][first]] += np.add.reduceat(seen[order], first, axis=0).T.astype(np.int64)
+            at = pa.ListArray.from_arrays(pa.array(np.append(starts, rows.num_rows), pa.int32()), rows.column("at"))
+            found = [rows.column("word").take(pa.array(starts)), pa.array(c.astype(np.int64)), pa.array(k, pa.int32()), at, pa.nulls(len(starts), pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(found, names=["word", "c", "k", "at", "table"]).filter(pa.array(c > 0))
 
+        waiting = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if waiting is None else pa.concat_batches([waiting, batch])
+            words = rows.column("word")
+            starts = np.append(0, 1 + np.flatnonzero(pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)))
+            waiting = rows.slice(starts[-1])
+            if len(starts) > 1:
+                yield judged(rows.slice(0, starts[-1]), starts[:-1])
+        if waiting is not None:
+            yield judged(waiting, np.zeros(1, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.int64())), pa.array([table.ravel().tolist()], pa.list_(pa.int64()))], names=["word", "c", "k", "at", "table"])
+
+    rows = blocks.select("block", "words", "places", "lengths", "trains").mapInArrow(contexts, "word binary, at bigint, seen binary")
+    made = cut(rows.repartition("word").sortWithinPartitions("word").mapInArrow(assign, "word binary, c bigint, k int, at array<bigint>, table array<bigint>"))
+    table = _sum_of_tables(made.where("table IS NOT NULL"), 2 * SIDE * CLASSES)
+    rest = made.where("word IS NOT NULL").select("word", "c", "k", "at")
+    rest._written = made._written
+    return rest, table.reshape(2 * SIDE, CLASSES)
+
+
+def _sum_of_tables(df: DataFrame, size: int) -> np.ndarray:
+    """The tables of all tasks are added up by a few, which read nothing else."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 5_000):
-                part = batch.slice(i, 5_000)
-                words = part.column("word").to_pylist()
-                first = np.array([True, *(a != b for a, b in zip(words, words[1:]))])
-                names = [w for w, f in zip(words, first) if f]
-                lists = part.column("codes")
-                row = np.repeat(np.cumsum(first) - 1, lists.value_lengths().to_numpy(zero_copy_only=False))
-                cell = row * (2 * SIDE) + lists.flatten().to_numpy()
-                seen = np.bincount(cell, weights=part.column("times").flatten().to_numpy(), minlength=len(names) * 2 * SIDE).reshape(len(names), -1)
-                if last == names[0]:
-                    seen[0] += held
-                elif last is not None:
-                    names, seen = [last, *names], np.vstack([held, seen])
-                last, held = names[-1], seen[-1].copy()
-                if len(names) > 1:
-                    yield judged(names[:-1], seen[:-1])
-        if last is not None:
-            yield judged([last], held[None, :])
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([table.ravel().tolist()], pa.list_(pa.int64()))], names=["word", "c", "k", "table"])
-
-    rows = docs.select("text").mapInArrow(contexts, "word binary, codes array<smallint>, times array<int>")
-    made = cut(rows.repartition("word").sortWithinPartitions("word").mapInArrow(assign, "word binary, c bigint, k int, table array<bigint>"))
-    # The tables of all tasks are added up by a few, which read nothing else.
-    sums = made.where("table IS NOT NULL").select("table").coalesce(SUMMING_TASKS).mapInArrow(_summed, "table array<bigint>").toArrow()
-    table = np.zeros(2 * SIDE * CLASSES)
-    for found in sums.column("table").to_pylist():
-        table += found
-    return made.where("word IS NOT NULL").select("word", "c", "k"), table.reshape(2 * SIDE, CLASSES)
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(2 * SIDE * CLASSES, dtype=np.int64)
-    for batch in batches:
-        total += batch.column("table").flatten().to_numpy().reshape(batch.num_rows, -1).sum(axis=0) if batch.num_rows else 0
-    yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], names=["table"])
-
-
-def _score_bucket(model: Model | None, texts: list[str], rest: dict[bytes, tuple[int, int]]) -> list[tuple[int, int, float, float]]:
-    """n_tokens, n_known, base score and score of each text. rest has the training count and class of its known words beyond the core."""
-    core = model.core if model else {}
-    total, distinct = (model.tokens, model.distinct) if model else (0, 0)
-    number = {w: i for i, w in enumerate(core)}
-    info = [(c, k) for k, c in core.values()]
-    out, pending = [], []
-    for text in texts:
-        words = [*words_of(text), END]
-        for w in set(words).difference(number):
-            number[w] = len(info)
-            info.append(rest.get(w, (0, CLASSES)))
-        pending.append(np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words)))
-    c = np.array([x for x, _ in info], dtype=np.float64)
-    k = np.array([x for _, x in info], dtype=np.int64)
-    base = np.log10((c + 1) / (total + distinct + 1))
-    if model:
-        inside = np.minimum(k, CLASSES - 1)
-        emit = np.where(k == 0, 0.0, np.log10(np.maximum(c - DISCOUNT, 1e-12) / np.maximum(model.class_tokens[inside], 1)))
-    for ids in pending:
-        b = float(base[ids].sum())
-        s = b
-        if model:
-            now = k[ids]
-            before = np.append(0, now[:-1])
-            known = now < CLASSES
-            s = float(emit[ids][known].sum() + model.step[before[known], now[known]].sum() + model.unknown[before[~known]].sum())
-        out.append((len(ids), int((c[ids] > 0).sum()), b, s))
-    return out
-
-
-def score(df: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
+            if batch.num_rows:
+                total += batch.column("table").flatten().to_numpy().reshape(batch.num_rows, -1).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], names=["table"])
+
+    total = np.zeros(size)
+    for found in df.select("table").coalesce(SUMMING_TASKS).mapInArrow(summed, "table array<bigint>").toArrow().column("table").to_pylist():
+        total += found
+    return total
+
+
+def score(df: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", counted: bool = False) -> DataFrame:
+    """One row per row of df: id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity.
+
+    counted: bigrams of two words beyond the core are counted by their classes like all others, instead of spread by their margins.
+    """
     spark = df.sparkSession
     kind = dict(df.dtypes)[id_col]
-    docs = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    model, rest = train(docs.where(~held_out("id", folds, held)))
-    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("id", "text"), F.lit(buckets)).cast("int")).repartition(int(buckets), "bucket")
+    blocks = _blocks(df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text")).withColumn("trains", ~held_out("id", folds, held)))
+    model, rest = _train(blocks)
     sent = spark.sparkContext.broadcast(model)
 
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core = sent.value.core if sent.value else {}
-        held_words: dict[int, set[bytes]] = {}
-        n = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for bucket, words in held_words.items():
-                words = list(words.difference(core))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), bucket), pa.int32()), pa.array(words, pa.binary())], names=["bucket", "word"])
-            held_words.clear()
-
-        for batch in slices(batches, "text"):
-            for bucket, text in zip(batch.column("bucket").to_pylist(), batch.column("text").to_pylist()):
-                words = held_words.setdefault(bucket, set())
-                before = len(words)
-                words.update(words_of(text))
-                n += len(words) - before
-            if n > 2 * FLUSH_WORDS:
-                yield from flush()
-                n = 0
-        yield from flush()
-
-    needed = dealt.mapInArrow(vocabulary, "bucket int, word binary").join(rest, "word").select("bucket", "word", "c", "k")
-
-    def bucket_scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right.column("word").to_pylist(), zip(right.column("c").to_pylist(), right.column("k").to_pylist())))
-        ids, texts = left.column("id"), left.column("text")
-        rows = []
-        for i in range(0, left.num_rows, 500):
-            rows += _score_bucket(sent.value, texts.slice(i, 500).to_pylist(), known)
-        is_held = [zlib.crc32(str("" if x is None else x).encode()) % folds == held for x in ids.to_pylist()]
-        total = sent.value.tokens if sent.value else 0
-        a, b, c, d = (list(x) for x in zip(*rows)) if rows else ([], [], [], [])
-        return pa.table({id_col: ids, "held_out": pa.array(is_held, pa.bool_()), "n_tokens": pa.array(a, pa.int64()), "n_known": pa.array(b, pa.int64()), "train_tokens": pa.array([total] * len(rows), pa.int64()), "base_score": pa.array(c, pa.float64()), "score": pa.array(d, pa.float64()), "perplexity": pa.array([10 ** min(300.0, -s / n) for s, n in zip(d, a)], pa.float64())})
+    def classed(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A block's texts as bytes of classes, with all of their scores but the steps between classes, and the class bigrams of its training texts."""
+        model = sent.value
+        out = {x: [] for x in ("classes", "known", "base", "emit", "table")}
+        batch = left.combine_chunks().to_batches()[0] if left.num_rows else left
+        for row in range(batch.num_rows):
+            words = batch.column("words")[row].values
+            c, k = np.zeros(len(words)), np.full(len(words), CLASSES, dtype=np.int64)
+            if model:
+                where = right.column("number").to_numpy()
+                c[where], k[where] = right.column("c").to_numpy(), right.column("k").to_numpy()
+                unit = _units(words, pa.array(list(model.core), pa.binary()))
+                core = np.flatnonzero(unit < len(model.core))
+                k[core], c[core] = np.array(list(model.core.values())).T[:, unit[core]]
+            total, distinct = (model.tokens, model.distinct) if model else (0, 0)
+            base = np.log10((c + 1) / (total + distinct + 1))
+            emit = np.zeros(len(words))
+            if model:
+                free = (k > 0) & (k < CLASSES)
+                emit[free] = np.log10(np.maximum(c[free] - DISCOUNT, 1e-12) / np.maximum(model.class_tokens[k[free]], 1))
+            places, lengths, trains = _arrays(batch, row)
+            starts = np.cumsum(lengths, dtype=np.int64) - lengths
+            small = k.astype(np.int8)
+            learnt = small[_learnt(places, lengths, trains)].astype(np.int32) if model else np.zeros(0, np.int32)
+            out["classes"].append(small[places].tobytes())
+            out["known"].append(np.add.reduceat((c > 0).astype(np.int32)[places], starts, dtype=np.int64).tobytes())
+            out["base"].append(np.add.reduceat(base[places], starts).tobytes())
+            out["emit"].append(np.add.reduceat(emit[places], starts).tobytes())
+            out["table"].append(np.bincount(learnt[:-1] * CLASSES + learnt[1:], minlength=CLASSES * CLASSES).tolist())
+        same = {c: left.column(c) for c in ("ids", "lengths", "trains")}
+        return pa.table(same | {c: pa.array(v, pa.list_(pa.int64()) if c == "table" else pa.binary()) for c, v in out.items()})
+
+    needed = rest.select("c", "k", F.explode("at").alias("at")).select(F.shiftright("at", 32).alias("block"), F.col("at").bitwiseAND((1 << 32) - 1).alias("number"), "c", "k")
+    texts = blocks.select("block", "words", "places", "lengths", "trains", "ids").groupBy("block").cogroup(needed.groupBy("block"))
+    done = cut(texts.applyInArrow(classed, f"ids array<{kind}>, lengths binary, trains binary, classes binary, known binary, base binary, emit binary, table array<bigint>"))
+    if model is not None:
+        discard(rest)
+        if counted:
+            model = _model(model.core, model.tokens, model.distinct, model.class_tokens, model.class_words, _sum_of_tables(done, CLASSES * CLASSES).reshape(CLASSES, CLASSES))
+    discard(blocks)
+    tokens = model.tokens if model else 0
+    steps = np.column_stack([model.step, model.unknown]) if model else None  # of a class before, and a class or an unknown word
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda c, t: np.frombuffer(batch.column(c)[row].as_py(), dtype=t)  # noqa: B023, E731
+                n, base, s = get("lengths", np.int32).astype(np.int64), get("base", np.float64), get("emit", np.float64)
+                if steps is None:
+                    s = base
+                else:
+                    now = get("classes", np.int8).astype(np.int32)
+                    s = s + np.add.reduceat(steps.ravel()[np.append(0, now[:-1]) * (CLASSES + 1) + now], np.cumsum(n) - n)
+                columns = [batch.column("ids")[row].values, pa.array(~get("trains", bool)), pa.array(n), pa.array(get("known", np.int64)), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(s), pa.array(10 ** np.minimum(300.0, -s / n))]
+                made = pa.RecordBatch.from_arrays(columns, names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+                for i in range(0, len(n), 10_000):
+                    yield made.slice(i, 10_000)
 
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
-    return dealt.groupBy("bucket").cogroup(needed.groupBy("bucket")).applyInArrow(bucket_scores, schema)
+    return done.drop("table").mapInArrow(scores, schema)

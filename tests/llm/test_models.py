@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from orrery.llm import lm, topk, toxicity
+from orrery.llm import lm, queries, topk, toxicity
 from pyspark.sql import functions as F
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -120,6 +120,41 @@ def test_model_matches_brute_force(docs_of, monkeypatch):
         assert r["score"] == pytest.approx(s, abs=1e-6)
 
 
+def test_query_counts_bigrams_of_rare_words(docs_of, monkeypatch, tmp_path):
+    """Bigrams of two words beyond the core have their own counts, over blocks of texts, and neighbours of one class more than another's."""
+    monkeypatch.setattr(lm, "CORE", 6)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 300, raising=False)
+    monkeypatch.setattr(lm, "CONTEXTS", 7, raising=False)
+    rng = random.Random(5)
+    # After a frequent word come a rare one of its group and one of the next group, which margins cannot say.
+    phrase = lambda g: f"w{g} r{g}{rng.randrange(9)} r{(g + 1) % 6}{rng.randrange(9)}"
+    texts = [" ".join(phrase(rng.randrange(6)) for _ in range(rng.randrange(7))) for i in range(90)]
+    docs_of(list(enumerate([*texts, "", None, "r31 r42 r53 new r31"]))).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    texts += ["", "", "r31 r42 r53 new r31"]
+    learnt = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    model, rest = lm.train(docs_of(list(enumerate(learnt))).select("text"))
+    known = {w.decode(): k for w, (k, _) in model.core.items()} | {bytes(r["word"]).decode(): r["k"] for r in rest.collect()}
+    count = Counter(w for t in learnt for w in [*t.split(), ""])
+    full, total = np.zeros((lm.CLASSES, lm.CLASSES)), Counter()
+    for t in learnt:
+        for a, b in zip(["", *t.split()], [*t.split(), ""]):
+            full[known[a], known[b]] += 1
+    for w, c in count.items():
+        total[known[w]] += c
+    step, words = lm.transitions(full), Counter(known.values())
+    unknown = np.log10((10**step) @ np.array([lm.DISCOUNT * words[k] / total[k] if k and total[k] else 0 for k in range(lm.CLASSES)]))
+    found = queries.op7_lm(docs_of([]).sparkSession, str(tmp_path)).collect()
+    assert len(found) == len(texts) and not np.allclose(step, model.step)
+    for r in found:
+        at, s = 0, 0.0
+        for w in [*texts[r["doc_id"]].split(), ""]:
+            k = known.get(w, lm.CLASSES)
+            s += unknown[at] if k == lm.CLASSES else step[at, k] + (math.log10((count[w] - lm.DISCOUNT) / total[k]) if k else 0)
+            at = k
+        assert r["score"] == pytest.approx(s, abs=1e-6)
+        assert (r["n_tokens"], r["n_known"]) == (len(texts[r["doc_id"]].split()) + 1, sum(count[w] > 0 for w in [*texts[r["doc_id"]].split(), ""]))
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
