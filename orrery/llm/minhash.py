@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, slices, text_or_empty
+from .common import cut, releasing, scratch, slices, text_or_empty
 from .graph import components
 
 WORDS, BANDS, ROWS = 5, 42, 6
@@ -206,6 +206,7 @@ def _hot_links(docs: DataFrame, hot: DataFrame) -> DataFrame:
     return outside.groupBy("h", "i", "j").cogroup(others.groupBy("h", "i", "j")).applyInArrow(_tile_links, f"a {kind}, b {kind}").distinct()
 
 
+@releasing
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         texts = batch.column("text").to_pylist()
@@ -228,6 +229,7 @@ def _small(df: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of written pairs (a, b) those whose texts are similar, as a written table."""
 
+    @releasing
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bag = lru_cache(maxsize=512)(_bag)  # rows of a text stand together, and its partners recur
         for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, slices, text_or_empty, unused
+from .common import cut, releasing, scratch, slices, text_or_empty, unused
 
 SHARD = 1 << 12
 
@@ -210,6 +210,7 @@ def pieces(df: DataFrame, vocabulary: str, capacity: int = 1024, end: int = 2, i
     with open(vocabulary, "rb") as f:
         sent = df.sparkSession.sparkContext.broadcast(f.read())
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             row, piece, start, length, crc, flat = [], [], [], [], [], []

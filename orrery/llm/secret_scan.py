@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, text_or_empty
+from .common import releasing, slices, text_or_empty
 
 # The patterns of the base findings, and the least lengths of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -323,6 +323,7 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]")
 def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, n_assign, n_access, n_hex, base_sha256, spans and redacted text."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             counts, digests, spans, texts = [], [], [], []
@@ -343,6 +344,7 @@ def redact_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with its own columns, secrets in the text replaced by a mark; null texts stay null, n_chars follows."""
     names = df.columns
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             texts = [x if x is None or not (found := find(x)[1]) else redact(x, found) for x in batch.column(text_col).to_pylist()]

@@ -39,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import release, releasing, slices, text_or_empty
 
 SPAN, DECAY, LETTERS, TOP = 7, 0.7, 48, 4
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 3_000
 LANDMARKS, NEGATIVES, ROUNDS, COST, MOST_WEIGHT = 384, 8_000, 3, 4.0, 200
-RIDGE, STEPS = 1e-3, 15
+RIDGE, STEPS, MACHINE_ROWS = 1e-3, 15, 1_000
 WINDOW, CLEAN_WEIGHT, PENALTY, INSERTED = 24, 1.0, 0.1, 4
 CACHE_WORDS = 120_000
 SPACED = re.compile(r"(?:(?<!\S)\S[^\S\n]){2,}\S(?!\S)")
@@ -169,7 +169,9 @@ def _kernel(codes: list[bytes], marks: list[bytes]) -> np.ndarray:
     rows, cols, values = map(np.concatenate, (rows, cols, values))
     order = np.argsort(rows, kind="stable")
     rows, cols, values = rows[order], cols[order], values[order]
-    starts = np.searchsorted(rows, np.arange(_OFFSET + LETTERS**4 + 1)).astype(np.int32)
+    starts = np.zeros(_OFFSET + LETTERS**4 + 1, dtype=np.int32)
+    np.add.at(starts, rows + 1, 1)
+    np.cumsum(starts, out=starts)
     out = np.zeros((len(codes), len(marks)))
     for at, m in by_length(codes, 1_000):  # each row meets many entries of the lists
         for index, weight in features(m):
@@ -188,8 +190,13 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Weights of a squared-hinge machine, by Newton steps over the active rows."""
     v, active = np.zeros(x.shape[1]), np.ones(len(y), dtype=bool)
     for _ in range(STEPS):
-        a, d = x[active], 2 * cost[active]
-        v = np.linalg.solve(np.eye(x.shape[1]) + (a * d[:, None]).T @ a, a.T @ (d * y[active]))
+        left, right = np.eye(x.shape[1]), np.zeros(x.shape[1])
+        for i in range(0, len(x), MACHINE_ROWS):  # x is the largest table of training; no copies of it
+            part = slice(i, i + MACHINE_ROWS)
+            a, d = x[part][active[part]], 2 * cost[part][active[part]]
+            left += (a * d[:, None]).T @ a
+            right += a.T @ (d * y[part][active[part]])
+        v = np.linalg.solve(left, right)
         now = y * (x @ v) < 1
         if (now == active).all():
             break
@@ -285,10 +292,15 @@ def _train(vocabulary: list[bytes], bags: list[np.ndarray], label: np.ndarray) -
         root = np.linalg.cholesky(_kernel(marks, marks) + RIDGE * np.eye(len(marks)))
         whiten = np.linalg.inv(root).T
         codes = [vocabulary[i] for i in rows] + gapped
-        x = np.hstack([_kernel(codes, marks) @ whiten, np.ones((len(codes), 1))])
+        x = np.ones((len(codes), len(marks) + 1))
+        kernel = _kernel(codes, marks)
+        for i in range(0, len(codes), MACHINE_ROWS):
+            x[i : i + MACHINE_ROWS, :-1] = kernel[i : i + MACHINE_ROWS] @ whiten
+        del kernel
         weight = np.where(y > 0, np.minimum(bad[rows], MOST_WEIGHT) / 2 + 0.5, np.minimum(good[rows], MOST_WEIGHT) / 2 + 0.5) * COST
         y, weight = np.append(y, np.ones(len(gapped))), np.append(weight, np.full(len(gapped), COST))
         v = _machine(x, y, weight)
+        del x
         alpha = whiten @ v[:-1]
         table = np.zeros(_OFFSET + LETTERS**4, dtype=np.float32)
         for at, m in by_length(marks):
@@ -296,6 +308,7 @@ def _train(vocabulary: list[bytes], bags: list[np.ndarray], label: np.ndarray) -
                 np.add.at(table, index, np.broadcast_to(alpha[at][:, None] * w, index.shape))
         model = Model(table, float(v[-1]), np.zeros(TOP + 2))
         score = _margins_of(model, vocabulary, bags)
+        release()
     return model
 
 
@@ -323,6 +336,7 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     found = documents.select(documents[id_col].alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "id")
     found = found.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("id", "text", "y"))))
         model = train([r[1] for r in rows], [r[2] for r in rows])
@@ -363,6 +377,7 @@ def score(df: DataFrame, model: Model | None, folds: int = 5, held: int = 0, id_
     """One row per row of df: id, held_out, score, predicted."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in slices(batches, "text"):
@@ -383,6 +398,7 @@ def keep_clean(df: DataFrame, model: Model | None, text_col: str = "text") -> Da
     """The rows of df, with all their columns, whose text is not predicted toxic."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in slices(batches, text_col):

@@ -1,13 +1,14 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from orrery.llm import lm, queries, topk, toxicity
+from orrery.llm import common, lm, queries, topk, toxicity
 from pyspark.sql import functions as F
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -166,6 +167,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in said)
 
 
+def test_training_holds_no_copies_of_its_largest_tables():
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((6_000, 60)), np.where(rng.random(6_000) < 0.3, 1.0, -1.0)
+    marks = [bytes(rng.integers(1, 27, 6).tolist()) for _ in range(5)]
+    for run, most in ((lambda: toxicity._machine(x, y, np.ones(6_000)), 0.9 * x.nbytes), (lambda: toxicity._kernel(marks, marks), 6 * toxicity.LETTERS**4)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+
+
+def test_workers_release_memory_once_a_task_is_through(monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "release", lambda: seen.append("released"))
+    assert list(common.releasing(lambda batches: (seen.append(b) or b for b in batches))(iter([1, 2]))) == [1, 2]
+    assert seen == [1, 2, "released"]
+
+
 @pytest.fixture(scope="module")
 def tiny():
     rng = random.Random(1)
