@@ -147,6 +147,30 @@ def test_removed_lines_match_brute_force(docs_of, monkeypatch, frequent):
         assert got[i]["n_removed"] == len(want[i])
 
 
+@pytest.mark.parametrize("tallied", [1, 4, 1 << 40])
+def test_removed_lines_do_not_hang_on_the_order_of_words(docs_of, monkeypatch, tallied):
+    monkeypatch.setattr(line_dedup, "TALLIED", tallied)  # all lines, some, and none
+    rows = line_rows()
+    want = brute_lines(rows)
+    lines = line_dedup.lines_of(docs_of(rows), "doc_id", "text")
+    classes = set(line_dedup.rarity(lines))
+    assert (len(classes) > 1) == (tallied < 1 << 40)
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.report(docs_of(rows)).collect()}
+    assert got == {i: ",".join(map(str, sorted(want[i]))) for i, _ in rows}
+
+
+def test_rarity_counts_some_lines_and_is_read_by_bucket(docs_of):
+    rows = docs_of([(i, f"often rare{i}") for i in range(400)])
+    lines = line_dedup.lines_of(rows, "doc_id", "text")
+    counted = lines.where(line_dedup.F.pmod(line_dedup.F.xxhash64("line"), line_dedup.F.lit(line_dedup.TALLIED)) == 0).count()
+    table = line_dedup.rarity(lines)
+    often = lines.select(line_dedup.F.xxhash64(line_dedup.F.lit("often")).bitwiseAND(line_dedup.BUCKETS - 1).alias("b")).first()["b"]
+    assert 0 < counted < 400 and len(table) == line_dedup.BUCKETS
+    assert line_dedup.BY_CHECKSUM.index(table[often - 1]) == 1 + int(5.6 * np.log2(counted))
+    keys = line_dedup.keyed_lines(lines, table).collect()
+    assert {r["n"] for r in keys} == {2} and len({tuple(r["prefix"]) for r in keys}) == 400  # the rarer word of the two is each line's prefix
+
+
 def brute_line_classes(rows):
     lines = sorted({(i, n, line) for i, t in rows if i is not None for n, line in enumerate((t or "").split("\n")) if line.encode().split()})
     first = {}
