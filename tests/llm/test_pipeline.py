@@ -46,3 +46,9 @@ def test_entry_registers_everything():
     names = list(__spark_entry__.queries())
     assert [n for n in names if n.startswith("op")] == ["op1_bpe", "op2_packing", "op3_pii", "op4_minhash", "op5_line_dedup", "op6_topk", "op7_lm", "op8_toxicity", "op9_quality", "op10_secrets"]
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_line_classes_is_a_query_beside_the_ten():
+    import __spark_entry__
+
+    assert "line_classes" in __spark_entry__.queries() and "line_classes" not in __spark_entry__.oracle_sql()
