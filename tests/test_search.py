@@ -200,3 +200,22 @@ def test_matrix_kernel_and_registration():
         assert topk.kernel_of("own") == "own"
     finally:
         del topk.KERNELS["own"], topk.BACKENDS["own"]
+
+
+def test_search_makes_no_table_of_pairs(spark, monkeypatch):
+    """Thresholds and needs are those of all pairs of query and chunk, and a search by either kernel does without them."""
+    rng = np.random.default_rng(12)
+    data = (rng.uniform(-20, 20, (30, 1, 2)) + rng.standard_normal((30, 5, 2))).reshape(-1, 2).astype(np.float32)
+    vectors, queries = frame(spark, data, 5), search.query_frame(spark, data[::15])
+    manifest = M.summarize(vectors).cache()
+    for k in (1, 7, 999):
+        pairs = bounds.lower_bound_pairs(manifest, queries)
+        assert {tuple(r) for r in bounds.thresholds(manifest, queries, k).collect()} <= {tuple(r) for r in bounds.tau(pairs, k).collect()}
+        needs = {r["chunk_id"]: r["n"] for r in bounds.chunk_needs(manifest, queries, k).collect()}
+        assert len(needs) == 30 and {c: n for c, n in needs.items() if n} == {r["chunk_id"]: r["count"] for r in bounds.candidates(pairs, k).groupBy("chunk_id").count().collect()}
+    monkeypatch.setattr(bounds, "lower_bound_pairs", None)
+    monkeypatch.setattr(topk, "partial_top_k", None)
+    for backend in ("numpy", "native", "faiss_cpu"):
+        for monkey in (8_192, 4):
+            monkeypatch.setattr(topk, "SCAN_ROWS", monkey)
+            np.testing.assert_allclose(distances(search.knn_search(vectors, manifest, queries, 4, backend=backend), 10), brute(data, data[::15], 4), rtol=1e-5, atol=1e-5)
