@@ -219,3 +219,18 @@ def test_search_makes_no_table_of_pairs(spark, monkeypatch):
         for monkey in (8_192, 4):
             monkeypatch.setattr(topk, "SCAN_ROWS", monkey)
             np.testing.assert_allclose(distances(search.knn_search(vectors, manifest, queries, 4, backend=backend), 10), brute(data, data[::15], 4), rtol=1e-5, atol=1e-5)
+
+
+def test_all_distances(spark, monkeypatch):
+    """Arrays at once give what the column expressions give, rounding at ties and odd vectors included."""
+    rng = np.random.default_rng(13)
+    data = [[float(x) for x in v] for v in np.concatenate([rng.standard_normal((40, 4)), rng.integers(0, 64, (40, 4)) / 1024, [[0] * 4, [3e4, -3e4, 1, 0]]]).astype(np.float32)]
+    data += [None, [1.0, None, 0.0, 0.0], [float("nan"), 0.0, 0.0, 1.0], [1.0, 2.0]]
+    rows = spark.createDataFrame(list(enumerate(data)), "vec_id bigint, embedding array<float>")
+    queries = rows.where("vec_id % 5 = 0 or vec_id > 80").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    monkeypatch.setattr(topk, "TASK_PAIRS", 500)
+    for metric, measure in (("euclidean", V.l2_squared), ("cosine", V.cosine_distance)):
+        every = rows.join(F.broadcast(queries)).select("query_id", "vec_id", registry.six(measure("embedding", "q")).alias("distance"))
+        found = topk.all_distances(rows, queries, metric)
+        assert "MapInArrow" in found._jdf.queryExecution().toString()
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, every.collect()))
