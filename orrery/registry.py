@@ -68,9 +68,8 @@ def _ranked(found: DataFrame) -> DataFrame:
 
 def _brute(spark: SparkSession, sf_dir: str, k: int, metric: str = "euclidean", kernel: str = "arrow") -> DataFrame:
     """Nearest neighbours without any bound: every query needs every chunk."""
-    vectors, queries = chunked(spark, sf_dir), asked(spark, sf_dir)
-    pairs = bounds.lower_bound_pairs(M.summarize(vectors), queries)
-    return _ranked(topk.merge_top_k(topk.partial_top_k(vectors, queries, pairs, k, metric, kernel), k))
+    blocks = topk.search_blocks(asked(spark, sf_dir), k)
+    return _ranked(topk.merge_top_k(topk.scan_top_k(M.finite(chunked(spark, sf_dir)), blocks, k, metric, kernel), k))
 
 
 def knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
