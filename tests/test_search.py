@@ -234,3 +234,21 @@ def test_all_distances(spark, monkeypatch):
         found = topk.all_distances(rows, queries, metric)
         assert "MapInArrow" in found._jdf.queryExecution().toString()
         assert sorted(map(repr, found.collect())) == sorted(map(repr, every.collect()))
+
+
+def test_long_lists(spark, monkeypatch):
+    """Lists longer than LONG are ranked by tasks that have whole queries: no pair is shuffled, ties go by place, rows of one id are one query."""
+    rng = np.random.default_rng(14)
+    data = np.round(rng.standard_normal((30, 3)), 1).astype(np.float32)
+    data[20:24] = data[3]
+    vectors, queries = frame(spark, data, 7), search.query_frame(spark, data[:4])
+    monkeypatch.setattr(topk, "HELD_PAIRS", 70)
+    for k in (7, 999):
+        monkeypatch.setattr(topk, "LONG", 999)
+        short = search.knn_search(vectors, M.summarize(vectors), queries, k)
+        monkeypatch.setattr(topk, "LONG", 3)
+        long = search.knn_search(vectors, M.summarize(vectors), queries, k)
+        assert "Window" not in long._jdf.queryExecution().toString()
+        assert [tuple(r) for r in search.ordered(long).collect()] == [tuple(r) for r in search.ordered(short).collect()]
+    twice = topk.long_lists(vectors, queries.union(queries.where("query_id = 1")), 5, digits=6).where("query_id = 1").orderBy("rank").collect()
+    assert [(r["rank"], round(r["distance"], 6)) for r in twice[:2]] == [(1, 0), (2, 0)] and len(twice) == 5
