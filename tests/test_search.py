@@ -252,3 +252,14 @@ def test_long_lists(spark, monkeypatch):
         assert [tuple(r) for r in search.ordered(long).collect()] == [tuple(r) for r in search.ordered(short).collect()]
     twice = topk.long_lists(vectors, queries.union(queries.where("query_id = 1")), 5, digits=6).where("query_id = 1").orderBy("rank").collect()
     assert [(r["rank"], round(r["distance"], 6)) for r in twice[:2]] == [(1, 0), (2, 0)] and len(twice) == 5
+
+
+def no_pairs(spark, monkeypatch, name):
+    for f in ("lower_bound_pairs", "candidates"):
+        monkeypatch.setattr(bounds, f, None)
+    monkeypatch.setattr(topk, "partial_top_k", None)
+    return registry.queries()[name](spark, "/root/testdata/sf0.001")
+
+
+def test_result_rows_without_pairs(spark, monkeypatch):
+    assert no_pairs(spark, monkeypatch, "result_rows").groupBy("query_id").count().where("count = 3").count() == 10
