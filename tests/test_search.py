@@ -263,3 +263,7 @@ def no_pairs(spark, monkeypatch, name):
 
 def test_result_rows_without_pairs(spark, monkeypatch):
     assert no_pairs(spark, monkeypatch, "result_rows").groupBy("query_id").count().where("count = 3").count() == 10
+
+
+def test_knn_without_pairs(spark, monkeypatch):
+    assert no_pairs(spark, monkeypatch, "knn_l2").where("rank = 1 and vec_id = query_id and distance = 0").count() == 10
