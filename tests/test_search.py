@@ -267,3 +267,7 @@ def test_result_rows_without_pairs(spark, monkeypatch):
 
 def test_knn_without_pairs(spark, monkeypatch):
     assert no_pairs(spark, monkeypatch, "knn_l2").where("rank = 1 and vec_id = query_id and distance = 0").count() == 10
+
+
+def test_stats_without_pairs(spark, monkeypatch):
+    assert tuple(no_pairs(spark, monkeypatch, "search_stats").first()) == (10, 10, 100, 100)
